@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterlake.llm.byte_bpe import op9_byte_bpe
+from rasterlake.llm.language import op10_language
 from rasterlake.llm.line_rules import LINE_RULES_SQL, op4_line_rules
+from rasterlake.llm.quality import op3_quality
 from rasterlake.llm.source_mix import SOURCE_MIX_SQL, op1_source_mix
+from rasterlake.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op3_quality": op3_quality,
     "op4_line_rules": op4_line_rules,
+    "op6_toxicity": op6_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {
