@@ -12,11 +12,13 @@ from rasterlake.llm.line_rules import LINE_RULES_SQL, op4_line_rules
 from rasterlake.llm.quality import op3_quality
 from rasterlake.llm.source_mix import SOURCE_MIX_SQL, op1_source_mix
 from rasterlake.llm.toxicity import op6_toxicity
+from rasterlake.llm.vector_search import op5_nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op3_quality": op3_quality,
     "op4_line_rules": op4_line_rules,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language": op10_language,
