@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterlake.llm.byte_bpe import op9_byte_bpe
 from rasterlake.llm.language import op10_language
+from rasterlake.llm.license_scan import LICENSE_SCAN_SQL, op8_license_scan
 from rasterlake.llm.line_rules import LINE_RULES_SQL, op4_line_rules
 from rasterlake.llm.quality import op3_quality
 from rasterlake.llm.source_mix import SOURCE_MIX_SQL, op1_source_mix
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_rules": op4_line_rules,
     "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language": op10_language,
 }
@@ -27,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_source_mix": SOURCE_MIX_SQL,
     "op4_line_rules": LINE_RULES_SQL,
+    "op8_license_scan": LICENSE_SCAN_SQL,
 }
