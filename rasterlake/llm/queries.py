@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rasterlake.llm.byte_bpe import op9_byte_bpe
 from rasterlake.llm.language import op10_language
 from rasterlake.llm.license_scan import LICENSE_SCAN_SQL, op8_license_scan
+from rasterlake.llm.line_dedup import op2_line_dedup
 from rasterlake.llm.line_rules import LINE_RULES_SQL, op4_line_rules
 from rasterlake.llm.quality import op3_quality
 from rasterlake.llm.source_mix import SOURCE_MIX_SQL, op1_source_mix
@@ -17,6 +18,7 @@ from rasterlake.llm.vector_search import op5_nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_line_rules": op4_line_rules,
     "op5_nearest": op5_nearest,
