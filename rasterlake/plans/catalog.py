@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from rasterlake.plans import box_queries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for module in (box_queries,):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
