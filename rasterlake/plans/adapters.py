@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def true_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame, id, x, y, w, h: a box for each line item."""
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     rows = table(spark, sf_dir, "lineitem").select(*key, F.expr(f"l_orderkey div {ORDERS_PER_FRAME}").alias("frame"), F.col("l_quantity").cast("long").alias("q"))
     return numbered(rows, key).select(
         "frame", "id", F.expr("cast(l_partkey * 37 % 1700 as int)").alias("x"), F.expr("cast((l_partkey * 11 + l_suppkey * 53) % 950 as int)").alias("y"),
@@ -38,7 +38,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUE_BOXES_SQL = f"""
 tb AS (
   SELECT l_orderkey // {ORDERS_PER_FRAME} AS frame,
-    (row_number() OVER (PARTITION BY l_orderkey // {ORDERS_PER_FRAME} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1)::INT AS id,
+    (row_number() OVER (PARTITION BY l_orderkey // {ORDERS_PER_FRAME} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS id,
     (l_partkey * 37 % 1700)::INT AS x, ((l_partkey * 11 + l_suppkey * 53) % 950)::INT AS y,
     (8 + l_quantity::BIGINT * l_quantity::BIGINT % 400)::INT AS w, (6 + (l_quantity::BIGINT * 7 + l_linenumber * 13) % 120)::INT AS h,
     (l_partkey % 5)::INT AS jitter
