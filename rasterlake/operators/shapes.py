@@ -40,22 +40,56 @@ def smoothed(grid: np.ndarray) -> np.ndarray:
     return grid
 
 
-def topology(mask: np.ndarray) -> tuple[int, int]:
-    """Euler number and number of components, corners joining."""
-    m = np.pad(mask.astype(int), 1)
-    a, b, c, d = m[:-1, :-1], m[:-1, 1:], m[1:, :-1], m[1:, 1:]
-    s = a + b + c + d
-    euler = int((s == 1).sum() - (s == 3).sum() - 2 * ((s == 2) & (a == d)).sum()) // 4
-    left, count = m.astype(bool), 0
+def component_boxes(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """x, y, w, h of each component of a mask, corners joining, in the order in which rows meet them."""
+    left, boxes = np.pad(mask.astype(bool), 1), []
     while left.any():
         front = np.zeros_like(left)
         front[tuple(np.argwhere(left)[0])] = True
-        count += 1
+        whole = np.zeros_like(left)
         while front.any():
+            whole |= front
             left &= ~front
             spread = np.pad(front, 1)
             front = left & np.any([spread[1 + i : spread.shape[0] - 1 + i, 1 + j : spread.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-    return euler, count
+        y, x = np.nonzero(whole)
+        boxes.append((int(x.min()) - 1, int(y.min()) - 1, int(x.max() - x.min()) + 1, int(y.max() - y.min()) + 1))
+    return boxes
+
+
+def topology(mask: np.ndarray) -> tuple[int, int]:
+    """Euler number and number of components, corners joining."""
+    m = np.pad(mask.astype(int), 1)
+    a, b, c, d = m[:-1, :-1], m[:-1, 1:], m[1:, :-1], m[1:, 1:]
+    s = a + b + c + d
+    euler = int((s == 1).sum() - (s == 3).sum() - 2 * ((s == 2) & (a == d)).sum()) // 4
+    return euler, len(component_boxes(mask))
+
+
+def border_level(image: np.ndarray) -> float:
+    """The upper median of the outermost rows and columns, corners once."""
+    edge = np.sort(np.concatenate([image[0], image[-1], image[1:-1, 0], image[1:-1, -1]]))
+    return edge[len(edge) // 2]
+
+
+def check_state(image: np.ndarray, delta: int = 40, inner: float = 0.6) -> tuple[str, float] | None:
+    """Whether the control in a grey crop is checked, and how surely; None for a crop that is too small.
+
+    The control is the component that stands out from the border and has the largest box, if that has a third of each
+    side, or else the whole crop. It is checked if the middle of it spreads over more than delta levels.
+    """
+    h, w = image.shape
+    if min(h, w) < 4:
+        return None
+    x, y, bw, bh = max(component_boxes(np.abs(image.astype(int) - int(border_level(image))) > delta), key=lambda b: b[2] * b[3], default=(0, 0, w, h))
+    if bw < w // 3 or bh < h // 3:
+        x, y, bw, bh = 0, 0, w, h
+    iw, ih = max(1, int(bw * inner)), max(1, int(bh * inner))
+    x, y = x + (bw - iw) // 2, y + (bh - ih) // 2
+    values = np.sort(image[y : y + ih, x : x + iw].ravel()).astype(int)
+    at = lambda q: values[-(-q * len(values) // 100) - 1]
+    spread = at(95) - at(5)
+    return ("checked" if spread > delta else "unchecked"), float(min(1.0, 0.5 + abs(spread - delta) / 120))
 
 
 def glyph(ink: np.ndarray, mask: np.ndarray, smooth: bool = True) -> dict:
@@ -82,8 +116,7 @@ def shape(image: np.ndarray, delta: int = 32) -> dict:
     if min(image.shape) < 2:
         return {"hog": [0] * 16 * BINS, "ink": [0] * 64, "log_aspect": 0.0, "fill": 0.0}
     image = image.astype(float)
-    edge = np.sort(np.concatenate([image[0], image[-1], image[1:-1, 0], image[1:-1, -1]]))
-    ground = edge[len(edge) // 2]
+    ground = border_level(image)
     p = resampled(image, SIDE)
     wide = np.pad(p, 1, mode="edge")
     gx, gy = wide[1:-1, 2:] - wide[1:-1, :-2], wide[2:, 1:-1] - wide[:-2, 1:-1]
@@ -117,6 +150,19 @@ def shape_of(v: Column, width: Column) -> Column:
     return run(v, width)
 
 
+def state_of(v: Column, width: Column) -> Column:
+    """check_state() of crops given by rows: struct of value and score, null where there is none."""
+
+    @F.arrow_udf("struct<value: string, score: double>")
+    def run(values: pa.Array, widths: pa.Array) -> pa.Array:
+        rows = [check_state(np.array(a).reshape(-1, w)) for a, w in zip(values.to_pylist(), widths.to_pylist())]
+        none = pa.array([r is None for r in rows])
+        columns = [pa.array([r and r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64()))]
+        return pa.StructArray.from_arrays(columns, ["value", "score"], mask=none)
+
+    return run(v, width)
+
+
 def glyph_of(ink: Column, width: Column) -> Column:
     """The glyph feature of ink given by rows; its mask is where ink is 128 or more."""
 

@@ -26,6 +26,11 @@ def shape_descriptors(spark, d):
     return bitmaps(spark, d).select("vec_id", shapes.shape_of(F.col("v"), F.lit(8)).alias("s")).select("vec_id", "s.*")
 
 
+@query()
+def check_states(spark, d):
+    return bitmaps(spark, d).select("vec_id", shapes.state_of(F.col("v"), F.lit(8)).alias("s")).select("vec_id", "s.value", F.round("s.score", 6).alias("score"))
+
+
 @query()
 def glyph_features(spark, d):
     return bitmaps(spark, d).select("vec_id", shapes.glyph_of(F.col("v"), F.lit(8)).alias("s")).select("vec_id", "s.*")

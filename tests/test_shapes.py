@@ -53,3 +53,17 @@ def test_formula_evidence(spark):
     tex = spark.createDataFrame([(1, "\\sqrt { x ^ { 2 } } \\leq \\alpha _ { 1 }"), (2, "-")], "region int, tex string")
     got = {r["region"]: tuple(r)[1:] for r in fits.math_evidence(symbols, tex).collect()}
     assert got == {1: (4, 6.0, 0.0, 6), 2: (1, 99.0, 1.0, 0), 3: (1, 1.0, 1.0, 0)}
+
+
+def test_check_states(spark):
+    box = np.full((20, 20), 250)
+    box[4:16, 4:16] = 0
+    box[5:15, 5:15] = 250
+    ticked = box.copy()
+    ticked[8:12, 8:12] = 0
+    assert shapes.check_state(box) == ("unchecked", pytest.approx(0.5 + 40 / 120)) and shapes.check_state(ticked) == ("checked", 1.0)
+    assert shapes.check_state(np.zeros((3, 9))) is None
+    assert shapes.component_boxes(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 1, 0]])) == [(0, 0, 2, 2), (0, 3, 2, 1)]
+    df = spark.createDataFrame([(ticked.ravel().tolist(), 20), ([1, 2, 3, 4], 2)], "v array<int>, w int")
+    rows = [r["s"] for r in df.select(shapes.state_of(df["v"], df["w"]).alias("s")).collect()]
+    assert rows[0]["value"] == "checked" and rows[1] is None
