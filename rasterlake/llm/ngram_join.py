@@ -24,9 +24,9 @@ from rasterlake.llm.components import components
 #: Words of a shingle.
 WORDS = 5
 #: Counters of tokens, those taken for the order, and postings of one bucket of the matrix, about. Speed, not results.
-SLOTS, COMMON, BUCKET_POSTINGS = 1 << 22, 65_536, 1_000_000
+SLOTS, COMMON, BUCKET_POSTINGS = 1 << 22, 65_536, 500_000
 #: Postings that a task holds before it passes them on; bits of the filter on documents whose sets are opened.
-HELD, FILTER_BITS = 1_000_000, 1 << 23
+HELD, FILTER_BITS = 500_000, 1 << 23
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -52,6 +52,11 @@ def leading(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def led(n: str):
+    """leading() of a column."""
+    return F.expr(f"{n} - (4 * {n} + 4) div 5 + 1")
+
+
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -70,22 +75,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _posted(levels: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (id, n, node, last), and leading tokens by bucket (bucket, tokens and nodes packed)."""
-    names = ["id", "n", "node", "last", "bucket", "tokens", "nodes"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["id", "n", "node", "last", "bucket", "tokens", "nodes", "places"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     tokens: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
+    places: list[np.ndarray] = []
     seen: set[int] = set()
 
     def flush() -> pa.RecordBatch:
-        t, v = np.concatenate(tokens), np.concatenate(nodes)
+        t, v, i = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(places)
         bucket = ((t >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        t, v, bucket = t[order], v[order], bucket[order]
+        t, v, i, bucket = t[order], v[order], i[order], bucket[order]
         own, start = np.unique(bucket, return_index=True)
         ends = [*start[1:].tolist(), len(t)]
-        cols = [own.tolist(), [t[a:e].tobytes() for a, e in zip(start, ends)], [v[a:e].tobytes() for a, e in zip(start, ends)]]
+        cols = [own.tolist(), *([x[a:e].tobytes() for a, e in zip(start, ends)] for x in (t, v, i))]
         tokens.clear()
         nodes.clear()
+        places.clear()
         seen.clear()
         empty = [pa.nulls(len(own), k) for k in types[:4]]
         return pa.RecordBatch.from_arrays([*empty, *(pa.array(c, k) for c, k in zip(cols, types[4:]))], names)
@@ -109,6 +116,7 @@ def _posted(levels: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch])
                 seen.add(node)
                 tokens.append(h[order])
                 nodes.append(np.full(len(order), node, np.int64))
+                places.append(np.minimum(np.arange(len(order)), 65_535).astype(np.uint16))  # a lower place only bounds less
                 held += len(order)
         n = b.num_rows
         yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(r, k) for r, k in zip(rows, types[1:4])), *(pa.nulls(n, k) for k in types[4:])], names)
@@ -120,19 +128,20 @@ def _posted(levels: np.ndarray, buckets: int, batches: Iterator[pa.RecordBatch])
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """Of one bucket: token, node for tokens that two classes or more have; each pair once."""
+    """Of one bucket: token, node, place for tokens that two classes or more have; each pair once."""
     token = np.frombuffer(b"".join(t["tokens"].to_pylist()), np.uint64)
     node = np.frombuffer(b"".join(t["nodes"].to_pylist()), np.int64)
+    place = np.frombuffer(b"".join(t["places"].to_pylist()), np.uint16)
     order = np.lexsort((node, token))
-    token, node = token[order], node[order]
+    token, node, place = token[order], node[order], place[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    token, node = token[new], node[new]
+    token, node, place = token[new], node[new], place[new]
     same = token[1:] == token[:-1]
     keep = np.zeros(len(token), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    return pa.table({"token": token[keep].view(np.int64), "node": node[keep]})
+    return pa.table({"token": token[keep].view(np.int64), "node": node[keep], "place": place[keep].astype(np.int32)})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,6 @@ def _opened(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     spark = pairs.sparkSession
     side = lambda a: classes.select(F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("last").alias(f"last{a}"))
     least = F.ceil((F.col("nu") + F.col("nv")) * 4 / 9 - 1e-9).cast("long")
-    led = lambda n: F.expr(f"{n} - (4 * {n} + 4) div 5 + 1")
     first = lambda n: F.col("shared") + 1 >= led(n) - (F.col(n) - least)
     bound = F.when(F.col("lastu") <= F.col("lastv"), first("nu")).otherwise(first("nv"))
     sized = (100 * F.least("nu", "nv") >= 80 * F.greatest("nu", "nv")) & bound
@@ -215,21 +223,32 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         levels[common.value[0]] = common.value[1]
         return _posted(levels, buckets, batches)
 
-    posted = materialize(texts.mapInArrow(post, "id long, n long, node long, last long, bucket int, tokens binary, nodes binary"), "posted")
+    posted = materialize(texts.mapInArrow(post, "id long, n long, node long, last long, bucket int, tokens binary, nodes binary, places binary"), "posted")
     rows = posted.where("n is not null").select("id", "n", "node", "last")
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("last").alias("last")), "classes")
-    matrix = materialize(posted.where("bucket is not null").select("bucket", "tokens", "nodes").groupBy("bucket").applyInArrow(_shared, "token long, node long"), "matrix")
-    # groups: each token's classes against the one whose hash is lowest
-    pivot = matrix.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("p"))).alias("s")).select("token", F.col("s.p").alias("v"))
+    matrix = materialize(posted.where("bucket is not null").select("bucket", "tokens", "nodes", "places").groupBy("bucket").applyInArrow(_shared, "token long, node long, place int"), "matrix")
+    # groups: each token's classes against the one with the fewest leading tokens of its own, which is the one that edited
+    # copies were most likely made from
+    own = matrix.groupBy("node").agg(F.count(F.lit(1)).alias("met")).join(classes.select("node", "n"), "node").select("node", "n", (led("n") - F.col("met")).alias("own"))
+    matrix = materialize(matrix.join(own, "node"), "ranked")
+    pivot = matrix.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("node").alias("h"), F.col("node").alias("p"))).alias("s")).select("token", F.col("s.p").alias("v"))
     stars = matrix.join(pivot, "token").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"))
     first = _opened(stars, classes, texts)
     groups = materialize(components(first), "groups")
-    # the matrix by groups: tokens that still lie in two groups or more, and the classes through which they do
-    rooted = matrix.join(groups, "node", "left").select("token", "node", F.coalesce("root", "node").alias("grp"))
+    # the matrix by groups: tokens that still lie in two groups or more, and the classes through which they do. A token at
+    # place i of n leading ones still counts against sets of up to `reach` shingles; larger ones need an earlier token.
+    reach = F.expr("cast(9 * (n - place) div 4 - n as long)")
+    rooted = matrix.join(groups, "node", "left").select("token", "node", "n", reach.alias("reach"), F.coalesce("root", "node").alias("grp"))
     across = rooted.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("token")
     rest = materialize(rooted.join(across, "token", "left_semi"), "rest")
-    other = rest.select("token", F.col("node").alias("v"), F.col("grp").alias("g"))
-    pairs = rest.join(other, "token").where("node > v and grp <> g").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"))
+    other = rest.select("token", F.col("node").alias("v"), F.col("grp").alias("g"), F.col("n").alias("nv"), F.col("reach").alias("reachv"))
+    meet = rest.join(other, "token").where("node > v and grp <> g and n <= reachv and nv <= reach")
+    met = materialize(meet.select(F.col("node").alias("u"), "v").distinct(), "met")
+    # of the pairs that meet: how many leading tokens they share in all
+    nodes = met.select(F.col("u").alias("node")).unionByName(met.select(F.col("v").alias("node"))).distinct()
+    led_by = materialize(matrix.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_set("token").alias("t")), "led")
+    both = met.join(led_by.select(F.col("node").alias("u"), F.col("t").alias("x")), "u").join(led_by.select(F.col("node").alias("v"), F.col("t").alias("y")), "v")
+    pairs = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("shared"))
     second = _opened(pairs, classes, texts)
     links = second.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v")))
     return rows, components(links)
@@ -255,7 +274,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows with equal ids and linked or equal texts, all stay or all go.
     """
-    i, c = fresh(docs, "id", "component")
+    (i,) = fresh(docs, "id")
     gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(i)).distinct()
     return docs.join(gone, F.col("doc_id") == F.col(i), "left_anti")
 
