@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of whole texts handed to a Python worker at once; texts can be long, so few.
 ROWS_PER_BATCH = 256
 
+#: Bits of the filter on ids in parted_by_ids().
+FILTER_BITS = 1 << 23
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -85,6 +91,30 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def parted_by_ids(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the ids, all other rows) of df; ids is a table of one column, nulls allowed.
+
+    A filter of fixed size (FILTER_BITS, 1 MB) over hashes of the ids is broadcast, so that rows without them need no
+    shuffle to be joined with what belongs to the ids. It lets some others through: the join decides.
+    """
+    spark = df.sparkSession
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(FILTER_BITS)).cast("int").alias("p")
+    words = ids.select(place).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("m")).toArrow()
+    mask = np.zeros(FILTER_BITS // 64, np.int64)
+    mask[words["w"].to_numpy()] = words["m"].to_numpy()
+    shared = spark.sparkContext.broadcast(mask)
+
+    @F.arrow_udf("boolean")
+    def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for p in batches:
+            at = p.to_numpy(zero_copy_only=False)
+            yield pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    (flag,) = fresh(df, "maybe")
+    marked = df.withColumn(flag, maybe(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS)).cast("int")))
+    return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of its id as text, modulo 5, is 0 (a null id: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, fresh, materialize, table
+from rasterlake.llm.common import bounded_batches, fresh, materialize, parted_by_ids, table
 
 #: Least lines and words of a chunk that may go; lines after which a chunk ends anyway; one place in DIVISOR ends a chunk.
 LEAST_LINES, LEAST_WORDS, MOST_LINES, DIVISOR = 2, 10, 16, 2
@@ -119,7 +119,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     asked = materialize(asked, "asked")
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
     own = asked.withColumnsRenamed({"id": "i", "hash": "h"})
-    texts = named.join(own, same).select("id", "hash", "text", "asked")
+    # only texts that may be asked for are shuffled, and by the same join at every size
+    near, _ = parted_by_ids(named, "id", asked.select("id"))
+    texts = near.join(own.hint("merge"), same).select("id", "hash", "text", "asked")
     contents = texts.mapInArrow(_contents, "id long, hash long, nth int, content string").withColumn("at", F.struct(F.col("id").isNull().alias("last"), "id", "hash", "nth"))
     contents = materialize(contents.select("at", "content"), "contents")
     first = contents.groupBy("content").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -141,8 +143,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         for text, numbers in batches:
             yield pa.array([without(t, g) for t, g in zip(text.to_pylist(), numbers.to_pylist())], pa.string())
 
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
-    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone))).select(*docs.columns)
+    near, others = parted_by_ids(docs, "doc_id", marks.select(i))
+    joined = near.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone))).select(*docs.columns).unionByName(others)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
