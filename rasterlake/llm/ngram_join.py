@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, fresh, materialize, table
+from rasterlake.llm.common import bounded_batches, fresh, materialize, parted_by_ids, table
 from rasterlake.llm.components import components
 
 #: Words of a shingle.
@@ -276,7 +276,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     (i,) = fresh(docs, "id")
     gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(i)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(i), "left_anti")
+    gone = materialize(gone, "gone")
+    near, others = parted_by_ids(docs, "doc_id", gone)
+    return near.join(gone.hint("merge"), F.col("doc_id") == F.col(i), "left_anti").unionByName(others)
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
