@@ -118,3 +118,9 @@ def union_of(prefix: str = "") -> list[Column]:
     x, y = F.coalesce(F.min(some(b.x)), F.lit(0)), F.coalesce(F.min(some(b.y)), F.lit(0))
     right, bottom = F.coalesce(F.max(some(b.right)), F.lit(0)), F.coalesce(F.max(some(b.bottom)), F.lit(0))
     return [x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h")]
+
+
+def truth_group(label: Column, web: bool = False) -> Column:
+    """The kind that a ground-truth label counts as; in web data, a generic label counts as none (empty)."""
+    widget = F.when(label == "generic", F.lit("")).otherwise(F.lit("Container")) if web else F.lit("Container")
+    return F.when(label.isin("Text", "Image"), label).when(label.isin("Icon", "WebIcon"), F.lit("Icon")).otherwise(widget)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import text
-from rasterlake.functions.geometry import Box, effective_kind
+from rasterlake.functions.geometry import Box, effective_kind, truth_group
 from rasterlake.operators import boxes as B
 from rasterlake.operators import knn, packs, raster, scores
 from rasterlake.operators.graph import frame_components
@@ -43,6 +43,8 @@ def test_rectangles(spark):
     assert r["i"] == pytest.approx(25 / 175) and tuple(r["u"]) == tuple(r["v"]) == (0, 0, 10, 10) and not r["p"]
     kinds = spark.createDataFrame([("Text", False), ("Text", True), ("Icon", True), ("Image", False)], "k string, t boolean").select(effective_kind(F.col("k"), F.col("t")).alias("k"))
     assert [x["k"] for x in kinds.collect()] == [None, "Text", "Text", "Image"]
+    labels = spark.createDataFrame([("Text",), ("WebIcon",), ("generic",), ("Slider",)], "l string")
+    assert [tuple(r) for r in labels.select(truth_group(F.col("l")), truth_group(F.col("l"), True)).collect()] == [("Text", "Text"), ("Icon", "Icon"), ("Container", ""), ("Container", "Container")]
 
 
 def test_components_of_masks(spark):
