@@ -21,6 +21,7 @@ ROWS_PER_BATCH = 256
 FILTER_BITS = 1 << 23
 
 _written: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,19 +37,16 @@ def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, a local master gets a temporary folder and a cluster its warehouse.
+    Where it is unset, a local master gets a temporary folder, kept for the process, and a cluster its warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = "file://" + tempfile.mkdtemp(prefix="rasterlake-")
+        if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+            if not _local:
+                _local.append("file://" + tempfile.mkdtemp(prefix="rasterlake-"))
+            found = _local[0]
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rasterlake"
-        try:
-            spark.conf.set("spark.checkpoint.dir", found)
-        except Exception as e:  # a static setting in this version: keep our own note of it
-            if "CANNOT_MODIFY" not in str(e).upper() and "cannot modify" not in str(e).lower():
-                raise
     return found.rstrip("/")
 
 
