@@ -95,10 +95,21 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def telling_words(canonicals: list[str]) -> str:
+    """A pattern of words, one for each canonical text, of which a text must hold one in lower case to match any.
+
+    A word counts if no other spelling becomes it, so that it stands in the text just as it does in the canonical form.
+    If a canonical text has no such word, the pattern is empty, and any text may match.
+    """
+    made = {w for v in EQUIVALENT.values() for w in v.split()}
+    found = {max((w for w in c.split() if w not in made), key=lambda w: (len(w), w), default="") for c in canonicals}
+    return "" if "" in found else "|".join(sorted(found))
+
+
 def known_digests(spark, texts: dict[str, str] | None = None) -> DataFrame:
-    """license, digest of the known texts; a table of fixed size."""
+    """license, digest, canonical of the known texts; a table of fixed size."""
     rows = spark.createDataFrame(list((LICENSES if texts is None else texts).items()), "license string, known string")
-    return rows.select("license", digest(F.col("known")).alias("digest"))
+    return rows.select("license", digest(F.col("known")).alias("digest"), canonical(F.col("known")).alias("canonical"))
 
 
 def scan(docs: DataFrame, text: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
@@ -111,13 +122,19 @@ def scan(docs: DataFrame, text: str = "text", texts: dict[str, str] | None = Non
     spark = docs.sparkSession
     (key,) = fresh(docs, "digest")
     known = known_digests(spark, texts)
-    by_digest = F.create_map(*[F.lit(v) for r in known.collect() for v in (r["digest"], r["license"])])  # as few as the known texts
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull())
+    few = known.collect()  # as few as the known texts
+    by_digest = F.create_map(*[F.lit(v) for r in few for v in (r["digest"], r["license"])])
+    words = telling_words([r["canonical"] for r in few])
+    able = lambda x: F.lower(x).rlike(words)
+    # only texts and lines with a telling word are brought to their canonical form; no other can match
+    lines = F.filter(F.split(F.col(text), "\n"), able)
+    lines = F.filter(F.transform(lines, lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull())
+    lines = F.when(able(F.col(text)), lines)
     return (
         docs.drop("license", "notices")
         .withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(lines)), F.array().cast("array<string>")))
-        .withColumn(key, digest(F.col(text)))
-        .join(F.broadcast(known.withColumnRenamed("digest", key)), key, "left")
+        .withColumn(key, F.when(able(F.col(text)), digest(F.col(text))))
+        .join(F.broadcast(known.select("license", F.col("digest").alias(key))), key, "left")
         .drop(key)
     )
 
