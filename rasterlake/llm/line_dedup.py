@@ -4,6 +4,10 @@ A line here ends at a line feed or after a sentence, so that passages within lon
 over the hashes of neighbouring lines chooses where chunks end: wherever a passage stands, its chunks inside are the
 same. Digests of chunks of two lines or more are counted over the whole corpus; of those that repeat, the bytes are
 compared, the first in the order of documents stays, and the others are removed.
+
+without_passages() adds pieces of a few words, which end where a rolling hash over the words is least around, so that
+every passage of PASSAGE words or more holds some of them whatever its lines are. What repeats is compared word by word
+with its first place, and the comparison goes on to both sides as far as the texts agree.
 """
 
 from __future__ import annotations
@@ -14,14 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, fresh, materialize, parted_by_ids, table
+from rasterlake.llm.common import WORD, bounded_batches, fresh, materialize, parted_by_ids, table
 
 #: Least lines and words of a chunk that may go; lines after which a chunk ends anyway; one place in DIVISOR ends a chunk.
 LEAST_LINES, LEAST_WORDS, MOST_LINES, DIVISOR = 2, 10, 16, 2
+#: Least words of a repeated run that goes without holding a chunk of lines; words to each side within which a piece's end
+#: has the least hash; words to each side of repeated pieces that are compared.
+PASSAGE, REACH, AROUND = 50, 4, 50
 
+_words = re.compile(WORD).finditer
 _ends = re.compile(r"\n|[.!?…][ \t]+").finditer
 _P, _Q = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -148,10 +156,174 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone))).select(*docs.columns).unionByName(others)
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        f = np.full(n + 1, b, np.uint64)
+        f[0] = 1
+        out.append(np.multiply.accumulate(f))
+    return out[0], out[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _Q
+    return h ^ (h >> np.uint64(32))
+
+
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, digest, whether a chunk of lines) of the runs of words whose repetition is looked for, by word numbers."""
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    if not text:
+        return nothing
+    b = np.frombuffer(text.encode(), np.uint8)
+    inner = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inner, [False])).view(np.int8)))
+    starts, stops = edges[::2], edges[1::2]
+    n = len(starts)
+    if not n:
+        return nothing
+    up, down = _powers(int(_P), len(b))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+    word = _mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    up, down = _powers(int(_Q), n)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * up[:-1], dtype=np.uint64)))
+    roll = word.copy()
+    roll[1:] += word[:-1] * _P
+    roll[2:] += word[:-2] * (_P * _P)
+    roll = _mixed(roll)
+    wide = np.concatenate((np.full(REACH, np.iinfo(np.uint64).max), roll, np.full(REACH, np.iinfo(np.uint64).max)))
+    least = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + 1).min(axis=1)
+    ends = (np.flatnonzero(roll == least) + 1).tolist()
+    cuts, at = [0], 0
+    for end in ends:
+        # only words that repeat at once put ends closer together
+        if end - at > REACH or at == 0:
+            cuts.append(end)
+            at = end
+    if cuts[-1] < n:
+        cuts.append(n)
+    lines = chunks(text)
+    where = starts if len(b) == len(text) else np.cumsum((b & 0xC0) != 0x80)[starts] - 1
+    f = np.concatenate((np.array(cuts[:-1], np.int64), np.searchsorted(where, [x[0] for x in lines]).astype(np.int64)))
+    t = np.concatenate((np.array(cuts[1:], np.int64), np.searchsorted(where, [x[1] for x in lines]).astype(np.int64)))
+    digest = _mixed((total[t] - total[f]) * down[f] + (t - f).astype(np.uint64))
+    return f, t, digest, np.arange(len(f)) >= len(cuts) - 1
+
+
+_PLACE = "id long, hash long, a int, b int"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece: its document, its place there, whether it is a chunk of lines, and its digest."""
+    for b in batches:
+        found = [pieces(text) for text in b.column("text").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
+        f, t, digest, lines = (np.concatenate(c) for c in zip(*found)) if found else pieces(None)
+        columns = [b.column("id").take(at), b.column("hash").take(at), pa.array(f.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(lines), pa.array(digest.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "a", "b", "lines", "digest"])
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of words that is asked for: its document, its place, and its words with AROUND more to each side."""
+    for b in batches:
+        own, f, t, left, content = [], [], [], [], []
+        for i, (text, asked) in enumerate(zip(b.column("text").to_pylist(), b.column("asked").to_pylist())):
+            words = [m.group() for m in _words(text)]
+            for run in asked:
+                low = max(0, run["a"] - AROUND)
+                own.append(i)
+                f.append(run["a"])
+                t.append(run["b"])
+                left.append(run["a"] - low)
+                content.append(" ".join(words[low : run["b"] + AROUND]))
+        at = pa.array(own, pa.int64())
+        columns = [b.column("id").take(at), b.column("hash").take(at), pa.array(f, pa.int32()), pa.array(t, pa.int32()), pa.array(left, pa.int32()), pa.array(content, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "a", "b", "before", "content"])
+
+
+def cut_runs(text: str | None, runs: list[dict] | None) -> str | None:
+    """A text without its words that agree with the first place of a run, where they are enough."""
+    if not runs:
+        return text
+    found = list(_words(text))
+    words = [m.group() for m in found]
+    gone = np.zeros(len(words) + 1, np.int8)
+    for run in runs:
+        a, b, other = run["a"], run["b"], run["content"].split(" ")
+        x, y = run["before"], run["before"] + b - a
+        if words[a:b] != other[x:y]:
+            continue
+        while a and x and words[a - 1] == other[x - 1]:
+            a, x = a - 1, x - 1
+        while b < len(words) and y < len(other) and words[b] == other[y]:
+            b, y = b + 1, y + 1
+        if run["lines"] or b - a >= PASSAGE:
+            gone[a:b] = 1
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone)))).tolist()
+    out, at = [], 0
+    for a, b in zip(edges[::2], edges[1::2]):
+        out.append(text[at : found[a].start() if a else 0])
+        at = found[b].start() if b < len(words) else len(text)
+    return "".join([*out, text[at:]])
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """id, hash, runs: for each document (id and hash of its text) its runs of pieces that an earlier place holds, too.
+
+    A run names its words from a to b, and content: the words of its first place, `before` of them ahead of the run.
+    Places are ordered by (doc_id, hash of the text, word), null ids last; a document's own earlier words count.
+    """
+    bounded_batches(docs.sparkSession)
+    named = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    every = materialize(named.mapInArrow(_pieces, f"{_PLACE}, lines boolean, digest long"), "pieces")
+    again = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    asked = materialize(every.join(again, "digest", "left_semi").withColumn("at", F.struct(F.col("id").isNull().alias("last"), "id", "hash", "a")), "asked")
+    first = asked.groupBy("digest").agg(F.min("at").alias("first"))
+    later = asked.join(first, "digest").where(F.col("at") != F.col("first"))
+    key = ["id", "hash", "fid", "fhash", "shift"]
+    later = later.select("id", "hash", F.col("first.id").alias("fid"), F.col("first.hash").alias("fhash"), (F.col("first.a") - F.col("a")).alias("shift"), "a", "b", "lines")
+    w = Window.partitionBy(*key).orderBy("a", "b")
+    apart = later.withColumn("far", F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    part = apart.withColumn("part", F.sum(F.col("far").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = part.groupBy(*key, "part").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.bool_or("lines").alias("lines"))
+    runs = materialize(runs.select("id", "hash", "fid", "fhash", (F.col("a") + F.col("shift")).alias("fa"), (F.col("b") + F.col("shift")).alias("fb"), "a", "b", "lines"), "runs")
+    wanted = runs.groupBy(F.col("fid").alias("i"), F.col("fhash").alias("h")).agg(F.collect_set(F.struct(F.col("fa").alias("a"), F.col("fb").alias("b"))).alias("asked"))
+    wanted = materialize(wanted, "wanted")
+    # only texts that are asked for are shuffled, and equal rows are one document
+    near, _ = parted_by_ids(named, "id", wanted.select("i"))
+    texts = near.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("id", "hash", "text", "asked")
+    texts = texts.groupBy("id", "hash").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    around = materialize(texts.mapInArrow(_surroundings, f"{_PLACE}, before int, content string"), "around")
+    around = around.withColumnsRenamed({"id": "fid", "hash": "h", "a": "x", "b": "y"}).withColumnRenamed("fid", "i")
+    met = runs.join(around, F.col("fid").eqNullSafe(F.col("i")) & (F.col("fhash") == F.col("h")) & (F.col("fa") == F.col("x")) & (F.col("fb") == F.col("y")))
+    return met.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b", "lines", "before", "content")).alias("runs"))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages removed from text, up to the words at which they differ; all rows and columns stay.
+
+    Of equal runs the first place stays. What goes holds a repeated chunk of lines, or is PASSAGE words long at least.
+    Null and empty texts stay as they are, and a text may become empty. An empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
+    i, h, runs = fresh(docs, "id", "hash", "runs")
+    marks = materialize(repeated_runs(docs), "marks").select(F.col("id").alias(i), F.col("hash").alias(h), F.col("runs").alias(runs))
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, found in batches:
+            yield pa.array([cut_runs(t, r.as_py()) for t, r in zip(text.to_pylist(), found)], pa.string())
+
+    near, others = parted_by_ids(docs, "doc_id", marks.select(i))
+    joined = near.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
+    return joined.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(cut("text", runs))).select(*docs.columns).unionByName(others)
+
+
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_removed (chunks), kept_chars, kept_sha256 of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = deduplicated(docs.withColumn("whole", F.length("text")))
+    out = without_passages(docs.withColumn("whole", F.length("text")))
     return out.select(
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.coalesce(F.col("whole") - F.length("text"), F.lit(0)).cast("long").alias("removed_chars"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
