@@ -71,3 +71,8 @@ z AS (SELECT o.frame, grp, count(*) AS n, bool_or(candidate) AS ok, greatest(2,
 SELECT frame, grp, n, x - d AS x, y - d AS y, w + 2 * d AS w, h + 2 * d AS h FROM z WHERE n <= 24 AND ok""")
 def formula_regions(spark, d):
     return fits.formula_regions(text_lines(spark, d).where("id % 4 = 0").withColumn("candidate", F.expr("id % 3 = 0")), 16)
+
+
+@query()
+def formula_regions_whole(spark, d):
+    return fits.formula_regions(text_lines(spark, d).withColumn("candidate", F.expr("id % 3 = 0")), 16)
