@@ -161,6 +161,13 @@ def words_in_lines(spark, d):
     return B.kept_by_centre(text_lines(spark, d), true_boxes(spark, d).where("id % 9 = 0"))
 
 
+@query(f"""WITH {TRUE_BOXES_SQL}, {TEXT_LINES_SQL}
+SELECT a.frame, a.id, a.x, a.y, a.w, a.h FROM tl a WHERE EXISTS (
+  SELECT 1 FROM tb b WHERE a.frame = b.frame AND b.x <= a.x + a.w // 2 AND a.x + a.w // 2 < b.x + b.w AND b.y <= a.y + a.h // 2 AND a.y + a.h // 2 < b.y + b.h)""")
+def words_in_lines_whole(spark, d):
+    return B.kept_by_centre(text_lines(spark, d), true_boxes(spark, d))
+
+
 @query()
 def containers_deduped(spark, d):
     return B.deduped_greedily(true_boxes(spark, d), 1, 2)

@@ -125,7 +125,10 @@ t AS (SELECT query AS elem, max(round(score, 9)) AS score FROM c GROUP BY query
 SELECT elem, 'kind' AS key, score, 'first' AS source FROM t UNION ALL SELECT elem, 'again', score, 'second' FROM t""")
 def packs_chained(spark, d):
     q, t = _sides(spark, d)
-    q = q.where("id % 10 = 0")
+    return _chained(spark, q.where("id % 10 = 0"), t)
+
+
+def _chained(spark, q, t):
     elements = q.select(F.lit(0).cast("long").alias("frame"), F.col("id").alias("elem"), F.lit("Icon").alias("kind"), F.lit(16).alias("w"), F.lit(16).alias("h"), "v")
     vote = lambda e: knn.votes(e.select(F.col("elem").alias("id"), "v"), t, 3).select(F.lit(0).cast("long").alias("frame"), F.col("query").alias("elem"), F.col("label").cast("string").alias("value"), F.round("confidence", 9).alias("score"))
     reg = packs.Registry().add(packs.Pack("first", "kind", vote)).add(packs.Pack("second", "again", vote, packs.Scope(needs="kind")))
@@ -133,6 +136,14 @@ def packs_chained(spark, d):
     return packs.detect(elements, none, reg).select("elem", "key", "score", "source")
 
 
+@query(f"""{_DIST}, n AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, tmpl) <= 3),
+b AS (SELECT query, label, sum(1.0::DOUBLE / (1 + dist)) AS weight FROM n GROUP BY ALL), c AS (SELECT *, weight / sum(weight) OVER (PARTITION BY query) AS score FROM b),
+t AS (SELECT query AS elem, max(round(score, 9)) AS score FROM c GROUP BY query HAVING max(round(score, 9)) >= 0.5)
+SELECT elem, 'kind' AS key, score, 'first' AS source FROM t UNION ALL SELECT elem, 'again', score, 'second' FROM t""")
+def packs_chained_whole(spark, d):
+    return _chained(spark, *_sides(spark, d))
+
+
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS rk,
   round(value / sum(value) OVER (PARTITION BY user_id), 6) AS share, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev,
   count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM events QUALIFY rk <= 7""")
