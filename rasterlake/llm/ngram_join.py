@@ -1,11 +1,11 @@
-"""Exact Jaccard self-join of documents over word n-grams by a token-group matrix.
+"""Exact Jaccard self-join of documents over word n-grams by a positional prefix filter, which replaces a token-group matrix.
 
 Documents with equal sets of shingles are one class. Tokens (hashed shingles) have one order for all, rare ones first;
-two classes can only be similar if the leading fifths of their sets meet. The matrix has a row for each leading token
-and group that it occurs in; tokens that only one class has can't bound anything from below and are left out of it.
-First, every token's classes are compared to one of them: those found similar form the groups, and a group's row in the
-matrix is the union of its members'. Then, groups are bounded against each other by the tokens that they share, and
-only those that still could hold a similar pair are opened and compared, whole set against whole set.
+two classes can only be similar if the leading fifths of their sets meet. Leading tokens that only one class has are left
+out. First, every token's classes are compared to one of them: those found similar form the groups. Then, classes of
+different groups meet on each leading token that they share; single pairs are bounded by the sizes, the places of the
+tokens and their number, and those that still could be similar are compared, whole set against whole set. Groups only
+save pairs that are in one component already: no union of a group's tokens is kept, and no group is bounded or opened.
 """
 
 from __future__ import annotations
