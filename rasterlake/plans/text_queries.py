@@ -125,6 +125,20 @@ def order_free_checksum(spark, d):
     return table(spark, d, "documents").select(F.expr("(doc_id * 2654435761) % 4294967296").alias("h")).agg(F.bit_xor("h").alias("bits"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH m AS (SELECT md5(coalesce(doc_id::VARCHAR, '-') || ' ' || coalesce(md5(text), '-') || ' ' || coalesce(md5(source), '-')) AS m FROM documents),
+h AS (SELECT ('0x' || substr(m, 1, 8))::BIGINT AS a, ('0x' || substr(m, 9, 8))::BIGINT AS b FROM m)
+SELECT bit_xor(a) AS bits, sum(b)::BIGINT AS total, count(*) AS n FROM h""")
+def text_checksum(spark, d):
+    return text_checksum_of(table(spark, d, "documents"))
+
+
+def text_checksum_of(docs):
+    part = lambda at: F.expr(f"cast(conv(substr(m, {at}, 8), 16, 10) as bigint)")
+    digest = lambda c: F.coalesce(F.md5(F.col(c).cast("binary")), F.lit("-"))
+    m = docs.select(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), digest("text"), digest("source")).cast("binary")).alias("m"))
+    return m.agg(F.bit_xor(part(1)).alias("bits"), F.sum(part(9)).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events) WHERE k <= 5 OR i % 400 = 0""")
 def capped_and_strided(spark, d):
     w = Window.partitionBy("event_type")

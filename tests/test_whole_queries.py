@@ -39,3 +39,12 @@ def test_formula_regions_of_all_boxes(spark):
     want = sorted((f, *g) for f, boxes in frames.items() for g in regions(boxes))
     got = catalog.QUERIES["formula_regions_whole"](spark, SF).select("frame", "grp", "n", "x", "y", "w", "h").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_checksum_sees_texts(spark):
+    from rasterlake.plans.text_queries import text_checksum_of
+
+    of = lambda *rows: tuple(text_checksum_of(spark.createDataFrame(list(rows), "doc_id long, text string, source string")).first())
+    a, b = (1, "one", "s"), (2, None, "t")
+    assert of(a, b) == of(b, a)
+    assert len({of(a, b), of((1, "two", "s"), b), of((1, "one", "t"), b), of(a, (2, "", "t")), of(a, a), of(b, b)}) == 6
