@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,48 @@ ROWS_PER_BATCH = 256
 #: Bits of the filter on ids in parted_by_ids().
 FILTER_BITS = 1 << 23
 
+#: What empties the memory that an operator keeps in a worker, by the operator's name.
+CACHES: dict[str, Callable[[], object]] = {}
+
 _written: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
 
 
+def _forget_others(name: str) -> None:
+    for other, forget in CACHES.items():
+        if other != name:
+            forget()
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(name: str = ""):
+    """A decorator of kernels over Arrow batches, for workers that run one operator after another.
+
+    A kernel first empties what operators other than `name` keep in the worker, and gives free memory back to the system
+    when its partition ends: allocators would hold it for as long as the worker lives.
+    """
+
+    def of(kernel):
+        @functools.wraps(kernel)
+        def run(*args):
+            _forget_others(name)
+            try:
+                yield from kernel(*args)
+            finally:
+                _give_back()
+
+        return run
+
+    return of
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark (the folder may be in any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
