@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import WORD, bounded_batches, fresh, materialize, parted_by_ids, table
+from rasterlake.llm.common import WORD, bounded_batches, fresh, lean, materialize, parted_by_ids, table
 
 #: Least lines and words of a chunk that may go; lines after which a chunk ends anyway; one place in DIVISOR ends a chunk.
 LEAST_LINES, LEAST_WORDS, MOST_LINES, DIVISOR = 2, 10, 16, 2
 #: Least words of a repeated run that goes without holding a chunk of lines; words to each side within which a piece's end
 #: has the least hash; words to each side of repeated pieces that are compared.
 PASSAGE, REACH, AROUND = 50, 4, 50
+#: Pieces that a task holds before it passes them on. Speed, not results.
+HELD = 250_000
 
 _words = re.compile(WORD).finditer
 _ends = re.compile(r"\n|[.!?…][ \t]+").finditer
@@ -190,7 +192,7 @@ def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * up[:-1], dtype=np.uint64)))
     roll = word.copy()
     roll[1:] += word[:-1] * _P
-    roll[2:] += word[:-2] * (_P * _P)
+    roll[2:] += word[:-2] * _P * _P
     roll = _mixed(roll)
     wide = np.concatenate((np.full(REACH, np.iinfo(np.uint64).max), roll, np.full(REACH, np.iinfo(np.uint64).max)))
     least = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + 1).min(axis=1)
@@ -212,18 +214,97 @@ def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 _PLACE = "id long, hash long, a int, b int"
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each piece: its document, its place there, whether it is a chunk of lines, and its digest."""
+#: A piece as it is dealt: its digest, its place (document, first word), its words, and whether its id is null, it is a
+#: chunk of lines, and its task has more of its digest.
+_PIECE = np.dtype([("digest", "<u8"), ("null", "u1"), ("id", "<i8"), ("hash", "<i8"), ("a", "<i4"), ("b", "<i4"), ("lines", "u1"), ("more", "u1")])
+_FOUND = "kind int, digest long, id long, hash long, a int, b int, lines boolean, fid long, fhash long, fa int"
+
+
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces by digest and place, each place once with the marks of all, and which of them are the first of a digest."""
+    rows = rows[np.lexsort((rows["a"], rows["hash"], rows["id"], rows["null"], rows["digest"]))]
+    same = np.ones(max(0, len(rows) - 1), bool)
+    for name in ("digest", "null", "id", "hash", "a"):
+        same &= rows[name][1:] == rows[name][:-1]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), ~same)))
+    marks = {name: np.maximum.reduceat(rows[name], starts) if len(rows) else rows[name] for name in ("lines", "more")}
+    rows = rows[starts]
+    for name, mark in marks.items():
+        rows[name] = mark
+    first = np.ones(len(rows), bool)
+    first[1:] = rows["digest"][1:] != rows["digest"][:-1]
+    return rows, first
+
+
+def _dealt(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces by bucket of their digest, packed: of each digest, the first of those held at once; apart, the others (later)."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        rows, first = _sorted(np.concatenate(held))
+        held.clear()
+        at = np.flatnonzero(first)
+        rows["more"][at] |= np.diff(np.append(at, len(rows))) > 1
+        bucket = (rows["digest"] >> np.uint64(16)) % np.uint64(buckets) * np.uint64(2) + (~first).astype(np.uint64)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        own, start = np.unique(bucket, return_index=True)
+        ends = [*start[1:].tolist(), len(rows)]
+        own = own.astype(np.int64)
+        packed = [rows[x:y].tobytes() for x, y in zip(start.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array((own >> 1).astype(np.int32)), pa.array(own & 1 == 1), pa.array(packed, pa.binary())], ["bucket", "later", "packed"])
+
+    n = 0
     for b in batches:
-        found = [pieces(text) for text in b.column("text").to_pylist()]
-        at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
-        f, t, digest, lines = (np.concatenate(c) for c in zip(*found)) if found else pieces(None)
-        columns = [b.column("id").take(at), b.column("hash").take(at), pa.array(f.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(lines), pa.array(digest.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "a", "b", "lines", "digest"])
-
-
+        for i, h, text in zip(b.column("id").to_pylist(), b.column("hash").to_pylist(), b.column("text").to_pylist()):
+            f, t, digest, lines = pieces(text)
+            rows = np.zeros(len(f), _PIECE)
+            rows["digest"], rows["null"], rows["id"], rows["hash"], rows["a"], rows["b"], rows["lines"] = digest, i is None, i or 0, h, f, t, lines
+            held.append(rows)
+            n += len(f)
+            if n >= HELD:
+                yield flush()
+                n = 0
+    if n:
+        yield flush()
+
+
+def _rows(kind: int, rows: np.ndarray, first: np.ndarray | None = None) -> pa.RecordBatch:
+    ids = lambda x: pa.array(x["id"], pa.int64(), mask=x["null"] == 1)
+    n = len(rows)
+    own = [pa.array(np.full(n, kind, np.int32)), pa.array(rows["digest"].view(np.int64)), ids(rows), pa.array(rows["hash"]), pa.array(rows["a"]), pa.array(rows["b"]), pa.array(rows["lines"] == 1)]
+    of = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())] if first is None else [ids(first), pa.array(first["hash"]), pa.array(first["a"])]
+    return pa.RecordBatch.from_arrays([*own, *of], [f.split()[0] for f in _FOUND.split(", ")])
+
+
+@lean()
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of whole buckets: later places with the first of their digest (0), later places alone (1), and their firsts (2).
+
+    What is held is one piece for each digest and flush of _dealt(); later places pass through.
+    """
+    held: list[np.ndarray] = []
+    for b in batches:
+        for later, packed in zip(b.column("later").to_pylist(), b.column("packed").to_pylist()):
+            rows = np.frombuffer(packed, _PIECE)
+            if later:
+                yield _rows(1, rows)
+            else:
+                held.append(rows)
+    if held:
+        rows, first = _sorted(np.concatenate(held))
+        held.clear()
+        at = np.flatnonzero(first)
+        size = np.diff(np.append(at, len(rows)))
+        own = np.repeat(at, size)
+        more = np.maximum.reduceat(rows["more"], at) == 1
+        yield _rows(2, rows[at[more]])
+        rest = np.flatnonzero(~first)
+        for k in range(0, len(rest), HELD):
+            yield _rows(0, rows[rest[k : k + HELD]], rows[own[rest[k : k + HELD]]])
+
+
+@lean()
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of words that is asked for: its document, its place, and its words with AROUND more to each side."""
     for b in batches:
@@ -276,13 +357,20 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     named = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    every = materialize(named.mapInArrow(_pieces, f"{_PLACE}, lines boolean, digest long"), "pieces")
-    again = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    asked = materialize(every.join(again, "digest", "left_semi").withColumn("at", F.struct(F.col("id").isNull().alias("last"), "id", "hash", "a")), "asked")
-    first = asked.groupBy("digest").agg(F.min("at").alias("first"))
-    later = asked.join(first, "digest").where(F.col("at") != F.col("first"))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+
+    @lean()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _dealt(buckets, batches)
+
+    dealt = named.mapInArrow(deal, "bucket int, later boolean, packed binary").repartition(buckets, "bucket")
+    found = materialize(dealt.mapInArrow(_met, _FOUND), "found")
+    first = found.where("kind = 2").select("digest", F.struct("id", "hash", "a").alias("first"))
+    alone = found.where("kind = 1").select("digest", "id", "hash", "a", "b", "lines").join(first, "digest")
+    later = alone.select("id", "hash", "a", "b", "lines", F.col("first.id").alias("fid"), F.col("first.hash").alias("fhash"), F.col("first.a").alias("fa"))
+    later = later.unionByName(found.where("kind = 0").select("id", "hash", "a", "b", "lines", "fid", "fhash", "fa"))
     key = ["id", "hash", "fid", "fhash", "shift"]
-    later = later.select("id", "hash", F.col("first.id").alias("fid"), F.col("first.hash").alias("fhash"), (F.col("first.a") - F.col("a")).alias("shift"), "a", "b", "lines")
+    later = later.select("id", "hash", "fid", "fhash", (F.col("fa") - F.col("a")).alias("shift"), "a", "b", "lines")
     w = Window.partitionBy(*key).orderBy("a", "b")
     apart = later.withColumn("far", F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     part = apart.withColumn("part", F.sum(F.col("far").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -311,6 +399,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     marks = materialize(repeated_runs(docs), "marks").select(F.col("id").alias(i), F.col("hash").alias(h), F.col("runs").alias(runs))
 
     @F.arrow_udf("string")
+    @lean()
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, found in batches:
             yield pa.array([cut_runs(t, r.as_py()) for t, r in zip(text.to_pylist(), found)], pa.string())
@@ -321,7 +410,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_removed (chunks), kept_chars, kept_sha256 of every document."""
+    """doc_id, kept_chars, removed_chars, kept_sha256 of every row; a null text counts as empty. See without_passages()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = without_passages(docs.withColumn("whole", F.length("text")))
     return out.select(
