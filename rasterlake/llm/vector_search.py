@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample and every vector is put into its leaf. A query takes nodes from a priority queue,
-best inner product with a node's centre first, until it has visited so many leaves; that number is widened on the sample
-until recall against brute force reaches its target. Leaves lie in blocks of bounded size, and each block is searched by
-the queries that visit one of its leaves.
+The tree is fitted on a bounded sample and every vector is put into its leaf; the number of leaves follows the number of
+vectors as far as the sample bears it. A query takes nodes from a priority queue, the one first whose vectors' inner
+products reach highest by their mean and spread, until it has visited so many leaves; that number is widened on the sample
+until recall against brute force reaches its target. Leaves lie in blocks of bounded size. Each block goes to one task with
+the queries that visit one of its leaves behind it, which pass through: vectors are copied only where a block has very
+many queries, and what a task holds is one block.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import materialize, table
+from rasterlake.llm.common import bounded_batches, lean, materialize, table
 
 #: Bounds of the sample that the tree is fitted on and of the queries that it is calibrated with.
 SAMPLE, CALIBRATED = 20_000, 300
-#: Children of a node; levels below the root; rows of a block of vectors and of a block of queries.
-BRANCHES, LEVELS, BLOCK = 12, 2, 8192
+#: Vectors a leaf, about; leaves at most; rows of a block of vectors; queries that one copy of a block serves, about.
+LEAF_ROWS, MOST_LEAVES, BLOCK, SERVED = 100, 2000, 8192, 100_000
+#: Standard deviations above the mean at which a node's best vectors are expected.
+REACH = 2.0
 #: Recall that calibration asks for; it is measured on the sample.
 RECALL = 0.96
 
@@ -47,9 +50,10 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray,
 
 @dataclass
 class Tree:
-    """Level by level: centres of the nodes and the parents that they hang on. The last level's nodes are the leaves."""
+    """Level by level: nodes' centres, variances of their rows, and parents. The last level's nodes are the leaves."""
 
     centres: list[np.ndarray]
+    spreads: list[np.ndarray]
     parents: list[np.ndarray]
 
     @property
@@ -67,7 +71,7 @@ class Tree:
 
     def visits(self, x: np.ndarray, most: int) -> np.ndarray:
         """Leaves (rows x most) in the order in which each row's priority queue gives them; -1 where there are no more."""
-        scores = [(x @ c.T).tolist() for c in self.centres]
+        scores = [(x @ c.T + REACH * np.sqrt((x * x) @ v.T)).tolist() for c, v in zip(self.centres, self.spreads)]
         children = [[np.flatnonzero(p == j).tolist() for j in range(int(p.max()) + 1)] for p in self.parents]
         out = np.full((len(x), most), -1, np.int64)
         last = len(self.centres) - 1
@@ -86,22 +90,27 @@ class Tree:
         return out
 
 
-def fit(x: np.ndarray) -> Tree:
-    """A tree over the rows of a sample (doubles), the same at every run."""
+def fit(x: np.ndarray, leaves: int = 0) -> Tree:
+    """A tree of about so many leaves (0: by LEAF_ROWS) over the rows of a sample (doubles), the same at every run."""
     rng, x = np.random.default_rng(5), np.unique(x, axis=0)
-    centres, parents, own = [], [], np.zeros(len(x), np.int64)
-    for _ in range(LEVELS):
-        level_c, level_p, new = [], [], np.zeros(len(x), np.int64)
+    leaves = max(1, min(MOST_LEAVES, leaves or len(x) // LEAF_ROWS, len(x) // 4))
+    levels = 1 if leaves <= 8 else 2 if leaves <= 1000 else 3
+    branches = max(2, round(leaves ** (1 / levels)))
+    centres, spreads, parents, own = [], [], [], np.zeros(len(x), np.int64)
+    for _ in range(levels):
+        level_c, level_v, level_p, new = [], [], [], np.zeros(len(x), np.int64)
         for node in range(int(own.max()) + 1):
             rows = np.flatnonzero(own == node)
-            c, o = _means(x[rows], BRANCHES, rng)
+            c, o = _means(x[rows], branches, rng)
             new[rows] = o + sum(map(len, level_c))
             level_c.append(c)
+            level_v.append(np.stack([x[rows[o == j]].var(0) for j in range(len(c))]))
             level_p += [node] * len(c)
         centres.append(np.concatenate(level_c))
+        spreads.append(np.concatenate(level_v))
         parents.append(np.array(level_p))
         own = new
-    return Tree(centres, parents)
+    return Tree(centres, spreads, parents)
 
 
 def calibrate(tree: Tree, x: np.ndarray, k: int) -> int:
@@ -134,31 +143,51 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best among the vectors of a block that are in leaves that it visits."""
-    rows: list[tuple] = []
-    if len(vectors) and len(queries):
-        vectors = vectors.sort_values(["leaf", "vec_id"], kind="stable")
-        v = np.frombuffer(b"".join(vectors["vec"]), np.float64).reshape(len(vectors), -1)
-        ids, leaf = vectors["vec_id"].to_numpy(), vectors["leaf"].to_numpy()
-        q = np.frombuffer(b"".join(queries["vec"]), np.float64).reshape(len(queries), -1)
-        names, visited = queries["query_id"].to_numpy(), [np.asarray(x) for x in queries["leaves"]]
-        starts = {int(n): (int(a), int(b)) for n, a, b in zip(*_spans(leaf))}
-        for r in range(len(q)):
-            spans = [starts[n] for n in visited[r].tolist() if n in starts]
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each query's k best among the vectors of a block that are in leaves that it visits.
+
+    Rows come block by block, vectors (kind 0, by leaf) before queries (kind 1); only one block's vectors are held.
+    """
+    key, ids, leaf, v = None, [], [], []
+    block: tuple = ()
+
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in ("branch", "block", "part"))))
+        rows = zip(keys, b.column("kind").to_pylist(), b.column("id").to_pylist(), b.column("vec").to_pylist(), b.column("leaf").to_pylist(), b.column("leaves").to_pylist())
+        out: list[tuple] = []
+        for own, kind, i, vec, at_leaf, leaves in rows:
+            if own != key:
+                key, ids, leaf, v, block = own, [], [], [], ()
+            if kind == 0:
+                ids.append(i)
+                leaf.append(at_leaf)
+                v.append(vec)
+                continue
+            if not ids:
+                continue
+            if not block:
+                names = np.array(ids, np.int64)
+                block = names, np.frombuffer(b"".join(v), np.float64).reshape(len(ids), -1), {int(n): (int(x), int(y)) for n, x, y in zip(*_spans(np.array(leaf)))}
+            names, m, starts = block
+            spans = [starts[n] for n in leaves if n in starts]
             if not spans:
                 continue
-            at = np.concatenate([np.arange(a, b) for a, b in spans])
-            at = at[ids[at] != names[r]]
+            at = np.concatenate([np.arange(x, y) for x, y in spans])
+            at = at[names[at] != i]
             if not len(at):
                 continue
-            near = v[at] @ q[r]
+            q = np.frombuffer(vec, np.float64)
+            near = m[at] @ q
             if len(at) > k:
                 at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-9 * (1 + np.abs(near).max())]
-            score = _exact(q[r], v[at])
-            best = np.lexsort((ids[at], -score))[:k]
-            rows += zip([names[r]] * len(best), ids[at][best].tolist(), score[best].tolist())
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            score = _exact(q, m[at])
+            best = np.lexsort((names[at], -score))[:k]
+            out += zip([i] * len(best), names[at][best].tolist(), score[best].tolist())
+        columns = list(zip(*out)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
 
 def _spans(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,26 +196,29 @@ def _spans(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query(vec_id) holds.
+    """query_id, rank, vec_id, score, visited, leaves: the k nearest found of each row for which is_query(vec_id) holds.
 
     Nearness is the inner product in doubles; ties go to the smaller vec_id. Rows with a null id, or with a vector that
     is null, empty, zero, not finite or of another length than the commonest, take no part. Rows with a query's id are
     its own and no candidates; a repeated query is answered once, by its smallest vector; other repeated rows are
     candidates each. An empty table gives an empty result. Columns other than vec_id and embedding are ignored.
+    Each query visits `visited` of the tree's `leaves`.
     """
     spark = vectors.sparkSession
     clean = vectors.where(F.col("vec_id").isNotNull() & valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     sizes = clean.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited int, leaves int")
+    bounded_batches(spark, 2048)
     clean = clean.where(F.size("x") == sizes[0]["n"])
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("x").toArrow()
     x = _matrix(sample["x"]).astype(np.float64)
-    tree = fit(x)
+    tree = fit(x, sizes[0]["count"] // LEAF_ROWS)
     most = calibrate(tree, x, k)
-    shared = spark.sparkContext.broadcast((tree.centres, tree.parents))
+    shared = spark.sparkContext.broadcast((tree.centres, tree.spreads, tree.parents))
     branch = tree.parents[-1]  # of each leaf
 
+    @lean()
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree(*shared.value)
         for b in batches:
@@ -195,6 +227,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                 leaf = t.leaf_of(m)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in m], pa.binary()), pa.array(leaf.astype(np.int32)), pa.array(branch[leaf].astype(np.int32))], ["vec_id", "vec", "leaf", "branch"])
 
+    @lean()
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree(*shared.value)
         for b in batches:
@@ -208,28 +241,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     ["query_id", "vec", "branch", "leaves"],
                 )
 
+    @lean()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _search(k, batches)
+
     placed = materialize(clean.mapInArrow(assign, "vec_id long, vec binary, leaf int, branch int"), "leaves")
-    # branches are as many as the tree has at most; a large one is dealt into blocks, and so are many queries
-    counts = placed.groupBy("branch").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    counts = materialize(counts, "blocks")
     queries = placed.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
-    groups = max(1, -(-queries.count() // BLOCK))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part")
-    asked = (
-        queries.mapInArrow(traverse, "query_id long, vec binary, branch int, leaves array<int>")
-        .join(F.broadcast(counts), "branch")
-        .select("query_id", "vec", "leaves", "branch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part)
-    )
-    blocks = (
-        placed.join(F.broadcast(counts), "branch")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
-        .select("vec_id", "vec", "leaf", "branch", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    )
+    asked = materialize(queries.mapInArrow(traverse, "query_id long, vec binary, branch int, leaves array<int>"), "asked")
+    # branches are as many as the tree has at most; a large one is dealt into blocks, and one with many queries into parts
+    counts = placed.groupBy("branch").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    served = asked.groupBy("branch").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("parts"))
+    counts = materialize(counts.join(served, "branch"), "blocks")
+    behind = asked.join(F.broadcast(counts), "branch").select(
+        "branch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"),
+        F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vec", F.lit(-1).alias("leaf"), "leaves",
+    )
+    ahead = placed.join(F.broadcast(counts), "branch").select(
+        "branch", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vec", "leaf", F.lit(None).cast("array<int>").alias("leaves"),
+    )
     key = ["branch", "block", "part"]
-    found = blocks.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda g, a, b: _search(g, a, b, k), "query_id long, vec_id long, score double")
+    found = ahead.unionByName(behind).repartition(*key).sortWithinPartitions(*key, "kind", "leaf", "id").mapInArrow(search, _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.lit(most).alias("visited"), F.lit(tree.leaves).alias("leaves"))
 
 
 def op5_nearest(spark, sf_dir: str) -> DataFrame:
+    """nearest() over all embeddings for the ids divisible by 20; see there for what takes no part, ties and repeated ids."""
     return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
