@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, table
+from rasterlake.llm.common import CACHES, bounded_batches, lean, table
 
 #: Words, pieces and pairs remembered by a worker, in two generations each. Only speed depends on them.
 WORDS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 250_000, 500_000, 48
@@ -188,6 +188,7 @@ class Codec:
 #: The pattern for which encode() may go by words.
 BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _codecs: dict[tuple[str, str], Codec] = {}
+CACHES["bpe"] = _codecs.clear
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -201,6 +202,7 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     """struct(ids binary, decoded binary): ids packed as little-endian u32, and the bytes that they decode to."""
 
     @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    @lean("bpe")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for batch in batches:
@@ -211,16 +213,20 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """df with a column of packed ids. Null texts have no ids; other columns, and repeated rows, pass unchanged."""
+    """df with a column of packed ids. Null and empty texts have no ids; repeated rows are encoded alike.
+
+    A column called like `into` is replaced; all others pass unchanged.
+    """
     bounded_batches(df.sparkSession)
     return df.withColumn(into, round_trip(F.col(text), path, pattern)["ids"])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """df with the bytes that a column of packed ids stands for; null is as empty."""
+    """df with the bytes that a column of packed ids stands for; null is as empty. A column called `into` is replaced."""
     bounded_batches(df.sparkSession)
 
     @F.arrow_udf("binary")
+    @lean("bpe")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         for batch in batches:
@@ -242,6 +248,7 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """encoded_documents() of all documents, by the vocabulary that the contract names."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -7,27 +7,27 @@ texts are read, cut into windows that run side by side as one batch.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, held_out, table
+from rasterlake.llm.common import bounded_batches, held_out, lean, table
 
 #: Units a direction; bytes a window; windows computed at once.
 UNITS, WINDOW, AT_ONCE = 8, 128, 1024
-#: Bounds of the sample that the network is fitted on: documents a language, and languages. Of each
-#: document, WINDOWS snippets of SNIPPET characters; the rest of this bound is documented at language_snippets().
-MOST_LABELLED, MOST_LANGUAGES, WINDOWS, SNIPPET = 300, 64, 8, 48
+#: Bounds of the sample that the network is fitted on: documents a language, and documents in all (if there are many
+#: languages, each has fewer, one at least). The sample's rows are snippets of SNIPPET characters, WINDOWS a document.
+MOST_A_LANGUAGE, MOST_LABELLED, WINDOWS, SNIPPET = 300, 4800, 8, 48
 UNKNOWN = "und"
 #: A byte that pads the last window of a text; its positions don't count.
 PAD = 0
 
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 @dataclass
@@ -214,30 +214,36 @@ def fit(sample: list[tuple[str, str]], epochs: int = 10, batch: int = 64, rate:
     return net
 
 
-def language_snippets(docs: DataFrame, most: int = MOST_LABELLED, length: int = SNIPPET) -> list[tuple[str, str]]:
-    """(snippet, lang): WINDOWS snippets of up to `most` documents of each of the MOST_LANGUAGES commonest languages.
+def language_snippets(docs: DataFrame, most: int = MOST_A_LANGUAGE, length: int = SNIPPET, in_all: int = MOST_LABELLED) -> list[tuple[str, str]]:
+    """(snippet, lang): WINDOWS snippets, from anywhere in the text, of up to `most` documents of each language there is.
 
+    Where `most` documents of every language would be more than `in_all`, each has its equal share of that, one at least.
     Held-out documents, null languages and null or empty texts don't count; null ids aren't held out. The documents are
     the first in the order of a hash of their id, whatever the partitions; each partition passes on `most` ids a
     language at most, and only the snippets reach the driver.
     """
-    known = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("name"))
-    top = known.groupBy("name").count().orderBy(F.desc("count"), "name").limit(MOST_LANGUAGES).select("name")
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("name"))
+    most = max(1, min(most, in_all // max(1, known.select("name").distinct().count())))
     order = Window.partitionBy("name").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.join(F.broadcast(top), "name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth").distinct()
+    ids = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth").distinct()
     n = F.greatest(F.length("text") - length + 1, F.lit(1))
     cuts = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), n) + 1).cast("int"), F.lit(length)) for k in range(WINDOWS)]
     own = docs.where(F.length("text") > 0).select("doc_id", "text", F.col("lang").cast("string").alias("name"))
-    rows = own.join(F.broadcast(ids), ["doc_id", "name"]).select("name", F.array(*cuts).alias("cuts")).collect()
+    rows = own.join(ids, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]).select("name", F.array(*cuts).alias("cuts")).collect()
     return sorted((c, r["name"]) for r in rows for c in r["cuts"])
 
 
 def predicted_languages(docs: DataFrame, net: Network, text: str = "text", into: str = "language") -> DataFrame:
-    """docs with a struct of lang_pred and score of each whole text; the network's size is bounded."""
+    """docs with a struct of lang_pred and score of each whole text; null, or without a letter: `und` and 0.
+
+    The network's size grows only with the number of languages. A column of docs that is called like `into` is replaced;
+    all others pass unchanged, and so do repeated rows.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((net.names, *net.weights()))
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @lean()
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         n = Network(*shared.value)
         for batch in batches:
@@ -255,4 +261,5 @@ def rated(docs: DataFrame) -> DataFrame:
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
+    """rated() over all documents: a row for each, null texts and repeated rows included."""
     return rated(table(spark, sf_dir, "documents"))

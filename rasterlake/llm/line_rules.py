@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, table
+from rasterlake.llm.common import bounded_batches, lean, table
 
 #: Phrases of the boilerplate rule, in lower case.
 BOILERPLATE = (
@@ -113,6 +113,7 @@ def line_rules(text: Column, cleaned: bool = True) -> Column:
     fields = [f.split(": ") for f in schema.split(", ")]
 
     @F.arrow_udf(f"struct<{schema}>")
+    @lean()
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [judged(t) for t in batch.to_pylist()]
@@ -122,7 +123,10 @@ def line_rules(text: Column, cleaned: bool = True) -> Column:
 
 
 def clean_documents(docs: DataFrame, text: str = "text", into: str = "rules") -> DataFrame:
-    """docs with a struct column of counts, verdict and cleaned text. Rows are neither dropped nor merged."""
+    """docs with a struct column of counts, verdict and cleaned text. Rows are neither dropped nor merged.
+
+    A null text counts as empty, fails the base rules and stays null. A column called like `into` is replaced.
+    """
     bounded_batches(docs.sparkSession)
     return docs.withColumn(into, line_rules(F.col(text)))
 
@@ -134,6 +138,7 @@ def rated_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_line_rules(spark, sf_dir: str) -> DataFrame:
+    """rated_documents() of all documents."""
     return rated_documents(table(spark, sf_dir, "documents"))
 
 

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, fresh, held_out, table
+from rasterlake.llm.common import CACHES, bounded_batches, fresh, held_out, lean, table
 from rasterlake.llm.labelled import labelled_texts
 
-#: Bounds of the labelled sample (rows, characters): what is broadcast is their vectors, a few MB at any input.
-MOST_LABELLED, LONGEST_LABELLED = 4000, 12_000
+#: Bounds of the labelled sample (rows, characters in all): what is broadcast is their vectors, a few MB at any input.
+MOST_LABELLED, MOST_CHARS = 4000, 48_000_000
 #: Hashed terms, dimensions, voters, and the power of the cosine that a vote weighs.
 TERMS, DIMENSIONS, NEAREST, POWER = 4096, 48, 15, 8
 THRESHOLD = 0.3
@@ -55,6 +55,7 @@ class _Shapes(dict):
 
 
 _shapes = _Shapes()
+CACHES["quality"] = _shapes.clear
 _TERM = {k: zlib.crc32(k.encode()) % TERMS for k in ("again", "line again", "few", "kinds 0", "kinds 1", "kinds 2", "kinds 3", "kinds 4")}
 
 
@@ -134,11 +135,15 @@ def fit(sample: list[tuple[str, int]]) -> Voters:
 
 
 def quality_scores(docs: DataFrame, voters: Voters, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of every whole text; rows pass one by one, so repeated rows score alike."""
+    """docs with a score from 0 to 1 of every whole text; rows pass one by one, so repeated rows score alike.
+
+    Null and empty texts score 0. A column of docs that is called like `into` is replaced; all others pass unchanged.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((voters.idf, voters.basis, voters.vectors, voters.labels))
 
     @F.arrow_udf("double")
+    @lean("quality")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = Voters(*shared.value)
         for batch in batches:
@@ -148,7 +153,7 @@ def quality_scores(docs: DataFrame, voters: Voters, text: str = "text", into: st
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Voters:
-    return fit(labelled_texts(docs, labels, "quality", MOST_LABELLED, LONGEST_LABELLED))
+    return fit(labelled_texts(docs, labels, "quality", MOST_LABELLED, MOST_CHARS))
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,4 +170,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | Non
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """rated() over all documents and labels: a row for each, null texts and repeated rows included."""
     return rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Every document gets a hash-random key. Within its source, documents are dealt into ranges of that key, each range is
-summed, the sums before a range come from a window over ranges, and a second window runs inside each range: a
-distributed prefix sum in which no task ever holds a whole source. Each source is cut at its exact budget of words, as
+summed, the sums before a range come from windows over ranges and over ranges of ranges, and a last window runs inside
+each range: a distributed prefix sum in which no task ever holds a whole source. Each source is cut at its exact budget of words, as
 many times round as the budget asks for.
 """
 
@@ -15,22 +15,23 @@ from rasterlake.llm.common import WORD, fresh, materialize, table
 
 #: Weights of sources in order of code points, repeating; the share of all words that the mix has; times a source at most.
 WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
-#: Documents in a key range, about.
-RANGE_ROWS = 500
+#: Documents in a key range, about, and ranges in a range of ranges.
+RANGE_ROWS, RANGES = 500, 4096
 
 
 def words_of(text: str):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_of(doc_id: str, seed: str):
-    """The random key: hexadecimal, from the seed and the id. A null id has a key too."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def key_of(doc_id: str, text: str, seed: str):
+    """The random key: hexadecimal, from the seed, the id and the text, so that rows of one id, or of none, are dealt too."""
+    own = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), own).cast("binary"))
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
     """id, source, size in words and random key of each document: what the rest of the mix works on."""
-    return docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"), words_of("text").alias("size"), key_of("doc_id", seed).alias("key"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("src"), words_of("text").alias("size"), key_of("doc_id", "text", seed).alias("key"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES) -> DataFrame:
@@ -72,8 +73,15 @@ def placed(sizes: DataFrame) -> DataFrame:
     bits = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     ranged = sizes.join(sources, sizes["src"].eqNullSafe(sources["s"])).drop("s").withColumn("range", F.shiftright(bits * F.col("ranges"), 32))
     sums = ranged.groupBy("src", "range").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("src").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    sums = sums.withColumn("part", F.expr(f"range div {RANGES}"))
+    earlier = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("src", "part").agg(F.sum("words").alias("words"))
+    parts = parts.select(F.col("src").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("src", "part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("start", F.coalesce(F.sum("words").over(within), F.lit(0)))
+    starts = sums.join(parts, F.col("src").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(
+        F.col("src").alias("s"), F.col("range").alias("r"), (F.col("base") + F.col("start")).alias("start")
+    )
     inside = Window.partitionBy("src", "range").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     return (
@@ -113,7 +121,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     copies = F.col(rounds) + F.coalesce(F.col(key) <= F.col(last), F.lit(False)).cast("long")
     return (
         docs.withColumn(size, words_of("text")).where(F.col(size) > 0)
-        .withColumn(key, key_of("doc_id", seed))
+        .withColumn(key, key_of("doc_id", "text", seed))
         .join(cut, F.col("source").cast("string").eqNullSafe(F.col(src)))
         .withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
         .select(*docs.columns)
@@ -121,13 +129,14 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
+    """mix() of all documents."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 SOURCE_MIX_SQL = f"""
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+    md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth FROM s GROUP BY source),
 w AS (SELECT *, ([{', '.join(map(str, WEIGHTS))}])[nth % {len(WEIGHTS)} + 1]::DOUBLE AS weight, ({MOST_TIMES} * source_size)::DOUBLE AS most FROM t),
 v AS (

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import bounded_batches, held_out, table
+from rasterlake.llm.common import bounded_batches, held_out, lean, table
 from rasterlake.llm.labelled import labelled_texts
 
-#: Lengths of n-grams; bounds of the labelled sample (rows, characters) and of the number of features.
-LENGTHS, MOST_LABELLED, LONGEST_LABELLED, MOST_FEATURES = (4, 5, 6, 7), 4000, 12_000, 20_000
+#: Lengths of n-grams; bounds of the labelled sample (rows, characters in all) and of the number of features.
+LENGTHS, MOST_LABELLED, MOST_CHARS, MOST_FEATURES = (4, 5, 6, 7), 4000, 48_000_000, 20_000
 #: Levels: occurring, and occurring at least once per so many characters.
 PER_CHARS = (1600, 400)
 LEVELS = 1 + len(PER_CHARS)
@@ -154,11 +154,15 @@ def fit(sample: list[tuple[str, int]], rounds: int = 600, l2: float = 1e-4) -> M
 
 
 def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of every whole text; null is scored as empty. The model's size is bounded."""
+    """docs with a score from 0 to 1 of every whole text; null is scored as empty. The model's size is bounded.
+
+    A column of docs that is called like `into` is replaced; all others pass unchanged, and so do repeated rows.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.intercept))
 
     @F.arrow_udf("double")
+    @lean()
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model(*shared.value)
         for batch in batches:
@@ -169,10 +173,11 @@ def toxicity_scores(docs: DataFrame, model: Model, text: str = "text", into: str
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; repeated rows get equal scores, an empty table an empty result."""
-    model = fit(labelled_texts(docs, labels, "toxic", MOST_LABELLED, LONGEST_LABELLED))
+    model = fit(labelled_texts(docs, labels, "toxic", MOST_LABELLED, MOST_CHARS))
     scored = toxicity_scores(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """rated() over all documents and labels: a row for each, null texts and repeated rows included."""
     return rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
