@@ -17,13 +17,19 @@ SYMBOL = "struct<x: int, y: int, w: int, h: int, ch: string, kind: string, scale
 
 @dataclass(frozen=True)
 class Rules:
-    """Of the main size: below which scale a piece is a script, how far scripts are raised or dropped, how far stacks reach."""
+    """Fixed values, as shares of the main size where nothing else is said."""
 
-    script_scale: float = 0.84
-    raised: float = 0.22
-    dropped: float = 0.12
-    reach: float = 2.2
-    deepest: int = 12
+    script_scale: float = 0.84  # a piece below this scale may be a script
+    raised: float = 0.22  # a script's baseline above the line's, at least
+    dropped: float = 0.12  # or below it
+    reach: float = 2.2  # how far what is stacked over or under a piece may be
+    deepest: int = 12  # levels of groups within groups
+    accent_height: float = 0.45  # an accent's height at most,
+    accent_gap: float = 0.35  # its distance to the glyph below,
+    accent_width: float = 1.6  # and its width, as a share of that glyph's
+    one_gap: float = 0.35  # how near a thin stem must be to a digit to be a 1
+    axis: float = 0.37  # how far the line on which rules lie is above the baseline
+    root_foot: float = 0.1  # how far a root's baseline is above its bottom
 
 
 @dataclass(frozen=True)
@@ -93,7 +99,7 @@ class Parser:
         for root in pending:
             holds = lambda p: p is not root and p.x + p.w // 2 >= root.radicand_x and root.x <= p.x + p.w // 2 < root.right and root.y <= p.y + p.h // 2 < root.bottom  # noqa: E731, B023
             own = [p for p in pieces if holds(p)]
-            whole = replace(root, tex=f"\\sqrt {{ {inner(own)} }}", folded=True, scale=size, baseline=root.bottom - 0.1 * size).around(own)
+            whole = replace(root, tex=f"\\sqrt {{ {inner(own)} }}", folded=True, scale=size, baseline=root.bottom - self.rules.root_foot * size).around(own)
             pieces = [p for p in pieces if p is not root and not any(p is q for q in own)] + [whole]
             if any(p is q for q in own for p in pending):
                 return self.roots(pieces, size, inner)
@@ -103,9 +109,9 @@ class Parser:
         """A flat mark close above just one glyph, with nothing stacked on it, is the glyph's accent."""
         for mark in pieces:
             command = "\\bar" if mark.kind == "Bar" else ACCENTS.get(mark.ch)
-            if mark.folded or not command or mark.h > 0.45 * size:
+            if mark.folded or not command or mark.h > self.rules.accent_height * size:
                 continue
-            near = lambda p: p.y >= mark.bottom - 1 and p.y - mark.bottom <= 0.35 * size and mark.w <= 1.6 * p.w + 2  # noqa: E731, B023
+            near = lambda p: p.y >= mark.bottom - 1 and p.y - mark.bottom <= self.rules.accent_gap * size and mark.w <= self.rules.accent_width * p.w + 2  # noqa: E731, B023
             below = [p for p in pieces if p is not mark and p.kind == "Glyph" and not p.folded and mark.over(p, 1) and near(p)]
             stacked = any(p is not mark and p.over(mark, 1) and p.bottom <= mark.y + 1 and mark.y - p.bottom <= self.rules.reach * size for p in pieces)
             if len(below) == 1 and not stacked:
@@ -134,7 +140,7 @@ class Parser:
             tex = f"\\frac {{ {inner(upper)} }} {{ {inner(lower)} }}"
         else:
             tex = f"\\overline {{ {inner(upper)} }}" if upper else f"\\underline {{ {inner(lower)} }}"
-        whole = replace(bar, tex=tex, folded=True, scale=size, baseline=bar.y + 0.5 * bar.h + 0.37 * size).around(upper + lower)
+        whole = replace(bar, tex=tex, folded=True, scale=size, baseline=bar.y + 0.5 * bar.h + self.rules.axis * size).around(upper + lower)
         rest = [p for p in pieces if p is not bar and not any(p is q for q in upper + lower)]
         return self.bars([*rest, whole], size, inner)
 
@@ -176,7 +182,7 @@ class Parser:
                 for j in (k - 1, k + 1):
                     if 0 <= j < len(pieces) and not places[j] and number(j):
                         a, b = (pieces[j], p) if j < k else (p, pieces[j])
-                        if b.x - a.right <= 0.35 * size:
+                        if b.x - a.right <= self.rules.one_gap * size:
                             texts[k] = "1"
         out: list[str] = []
         k = 0
