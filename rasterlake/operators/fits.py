@@ -48,9 +48,10 @@ def line_fits(rows: DataFrame, far: float = 0.35) -> DataFrame:
     return one.join(two, "grp", "left").select("grp", F.coalesce("b2", "b").alias("baseline"), F.coalesce("s2", "s").alias("size"))
 
 
-def formula_regions(texts: DataFrame, tallest: int, most: int = 24) -> DataFrame:
+def formula_regions(texts: DataFrame, tallest: int, most: int = 24, members: bool = False) -> DataFrame:
     """frame, grp, n, x, y, w, h: regions of text boxes (candidate says which may be formulas) that overlap once grown.
 
+    With members, the sorted ids of a region's boxes too.
     Boxes grow by 8 tenths of their height sideways and 5 tenths up and down. A region has a candidate and `most` boxes
     at most, and its box is widened by 3 tenths of its tallest box, by 2 at least.
     """
@@ -60,7 +61,7 @@ def formula_regions(texts: DataFrame, tallest: int, most: int = 24) -> DataFrame
     side = lambda p: grown.select("frame", *(F.col(c).alias(f"{p}{c}") for c in ("id", "l", "r", "t", "b")))
     links = overlap_join(side("u"), side("v"), ["frame"], ("ut", "ub"), ("vt", "vb")).where("uid < vid and ul < vr and vl < ur").select("frame", F.col("uid").alias("u"), F.col("vid").alias("v"))
     groups = own.join(frame_components(own.select("frame", "id"), links), ["frame", "id"]).groupBy("frame", "grp").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("candidate").alias("any"), F.max("h").alias("tall"), *union_of()
+        F.count(F.lit(1)).alias("n"), F.bool_or("candidate").alias("any"), F.max("h").alias("tall"), *([F.array_sort(F.collect_list(F.col("id").cast("long"))).alias("members")] if members else []), *union_of()
     )
     d = F.greatest(F.lit(2), F.expr("tall * 3 div 10"))
-    return groups.where((F.col("n") <= most) & F.col("any")).select("frame", "grp", "n", (F.col("x") - d).alias("x"), (F.col("y") - d).alias("y"), (F.col("w") + 2 * d).alias("w"), (F.col("h") + 2 * d).alias("h"))
+    return groups.where((F.col("n") <= most) & F.col("any")).select("frame", "grp", "n", *(["members"] if members else []), (F.col("x") - d).alias("x"), (F.col("y") - d).alias("y"), (F.col("w") + 2 * d).alias("w"), (F.col("h") + 2 * d).alias("h"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlake.operators.cut import cut
+
 TAG_SCHEMA = "frame long, elem long, key string, value string, score double, source string, seq long"
 
 
@@ -69,12 +71,16 @@ def best_tag(tags: DataFrame) -> DataFrame:
 
 
 def detect(elements: DataFrame, tags: DataFrame, registry: Registry, least: float = 0.5) -> DataFrame:
-    """tags with what the packs add, in order: each element's top match, if its score is at least `least`."""
-    for n, pack in enumerate(registry):
+    """tags with what the packs add, in order: each element's top match, if its score is at least `least`.
+
+    What a pack adds is computed once where a later pack looks at tags.
+    """
+    packs = list(registry)
+    for n, pack in enumerate(packs):
         hits = pack.classify(pack.scope.of(elements, tags))
         top = hits.groupBy("frame", "elem").agg(F.max_by("value", F.struct("score", F.lit(0))).alias("value"), F.max("score").alias("score")).where(F.col("score") >= least)
         new = top.select("frame", "elem", F.lit(pack.key).alias("key"), "value", "score", F.lit(pack.name).alias("source"), F.lit(1_000_000 + n).cast("long").alias("seq"))
-        tags = tags.unionByName(new)
+        tags = tags.unionByName(cut(new) if any(p.scope.needs for p in packs[n + 1 :]) else new)
     return tags
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +21,33 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(77 * r + 150 * g + 29 * b + 128, 8)
 
 
+def planes(width: int, height: int, form: str, pixels: bytes) -> np.ndarray:
+    """Red, green and blue (height, width, 3) of packed pixels; grey ones are alike."""
+    size, *places = FORMATS[form]
+    return np.frombuffer(pixels, np.uint8, width * height * size).reshape(height, width, size)[..., places]
+
+
+def grey(rgb: np.ndarray) -> np.ndarray:
+    """luma() of planes; where all three are equal, as it is."""
+    r, g, b = (rgb[..., k].astype(np.int32) for k in range(3))
+    return np.where((r == g) & (g == b), r, (77 * r + 150 * g + 29 * b + 128) >> 8)
+
+
 def scanlines(frames: DataFrame) -> DataFrame:
-    """frame, y, v from frames (frame, width, height, format, pixels): brightness by rows; Gray8 as it is."""
-    n = F.element_at(F.create_map(*[F.lit(x) for f, (size, *_) in FORMATS.items() for x in (f, size)]), F.col("format"))
-    rows = frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("n", n)
-    byte = lambda at: F.conv(F.hex(F.substring("line", at + 1, F.lit(1))), 16, 10).cast("int")
-    rows = rows.withColumn("line", F.expr("substring(pixels, y * width * n + 1, width * n)"))
-    places = [F.element_at(F.create_map(*[F.lit(x) for f, p in FORMATS.items() for x in (f, p[k])]), F.col("format")) for k in (1, 2, 3)]
-    grey = lambda i: F.when(F.col("n") == 1, byte(i)).otherwise(luma(*(byte(i * F.col("n") + p) for p in places)))
-    return rows.where("width > 0").select("frame", "y", F.transform(F.sequence(F.lit(0), F.col("width") - 1), grey).alias("v"))
+    """frame, y, v from frames (frame, width, height, format, pixels): brightness by rows; Gray8 as it is.
+
+    A frame is decoded in one piece where it lies; its rows are passed on as they are, so nothing is shuffled.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                if r["width"] and r["height"] and r["width"] > 0 and r["height"] > 0:
+                    v = grey(planes(r["width"], r["height"], r["format"], r["pixels"])).astype(np.int32)
+                    lines = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["frame"]] * len(v), pa.int64()), pa.array(np.arange(len(v), dtype=np.int32)), lines], ["frame", "y", "v"])
+
+    return frames.select(F.col("frame").cast("long").alias("frame"), "width", "height", "format", "pixels").mapInArrow(decode, "frame long, y int, v array<int>")
 
 
 def cropped(rows: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rasterlake.operators.layout import parts
+
 # Sides of a glyph's grid and of a shape's, orientation bins, and the weights of the two distances.
 GRID, SIDE, BINS = 16, 24, 8
 ASPECT, HOLES, COMPONENTS = 14.0, 6.0, 10.0
@@ -63,7 +65,7 @@ def topology(mask: np.ndarray) -> tuple[int, int]:
     a, b, c, d = m[:-1, :-1], m[:-1, 1:], m[1:, :-1], m[1:, 1:]
     s = a + b + c + d
     euler = int((s == 1).sum() - (s == 3).sum() - 2 * ((s == 2) & (a == d)).sum()) // 4
-    return euler, len(component_boxes(mask))
+    return euler, len(parts(mask.astype(bool)).box)
 
 
 def border_level(image: np.ndarray) -> float:

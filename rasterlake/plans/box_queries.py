@@ -154,20 +154,21 @@ def block_groups(spark, d):
     return B.grouped(boxes, B.block_links(boxes))
 
 
-@query(f"""WITH {TRUE_BOXES_SQL}, {TEXT_LINES_SQL}
-SELECT a.frame, a.id, a.x, a.y, a.w, a.h FROM tl a WHERE EXISTS (
-  SELECT 1 FROM tb b WHERE a.frame = b.frame AND b.id % 9 = 0 AND b.x <= a.x + a.w // 2 AND a.x + a.w // 2 < b.x + b.w AND b.y <= a.y + a.h // 2 AND a.y + a.h // 2 < b.y + b.h)""")
-def words_in_lines(spark, d):
-    return B.kept_by_centre(text_lines(spark, d), true_boxes(spark, d).where("id % 9 = 0"))
-
-
 @query(f"""WITH {TRUE_BOXES_SQL}, {TEXT_LINES_SQL}
 SELECT a.frame, a.id, a.x, a.y, a.w, a.h FROM tl a WHERE EXISTS (
   SELECT 1 FROM tb b WHERE a.frame = b.frame AND b.x <= a.x + a.w // 2 AND a.x + a.w // 2 < b.x + b.w AND b.y <= a.y + a.h // 2 AND a.y + a.h // 2 < b.y + b.h)""")
-def words_in_lines_whole(spark, d):
+def words_in_lines(spark, d):
     return B.kept_by_centre(text_lines(spark, d), true_boxes(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRUE_BOXES_SQL}, st AS (
+  SELECT frame, id, true AS kept, [struct_pack(x := x, y := y, w := w, h := h)] AS held FROM tb WHERE id = 0
+  UNION ALL
+  SELECT frame, id, ok, CASE WHEN ok THEN list_append(held, b) ELSE held END FROM (
+    SELECT t.frame, t.id, struct_pack(x := t.x, y := t.y, w := t.w, h := t.h) AS b, st.held, len(list_filter(list_transform(st.held, lambda k: struct_pack(
+      s := greatest(0, least(k.x + k.w, t.x + t.w) - greatest(k.x, t.x))::BIGINT * greatest(0, least(k.y + k.h, t.y + t.h) - greatest(k.y, t.y)), a := k.w::BIGINT * k.h + t.w::BIGINT * t.h)),
+      lambda m: 2 * m.s > m.a - m.s)) = 0 AS ok
+    FROM st JOIN tb t ON t.frame = st.frame AND t.id = st.id + 1))
+SELECT frame, id, x, y, w, h FROM st JOIN tb USING (frame, id) WHERE kept""")
 def containers_deduped(spark, d):
     return B.deduped_greedily(true_boxes(spark, d), 1, 2)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rasterlake.plans import box_queries, feature_queries, raster_queries, search_queries, text_queries
+from rasterlake.plans import box_queries, feature_queries, raster_queries, screen_queries, search_queries, text_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (box_queries, feature_queries, raster_queries, search_queries, text_queries):
+for module in (box_queries, feature_queries, raster_queries, screen_queries, search_queries, text_queries):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -65,7 +65,49 @@ def coarse_bounds(spark, d):
     return a.join(b, "vec_id").select("vec_id", knn.l1_distance(F.col("v"), F.col("o")).alias("dist"), knn.coarse_bound(F.col("v"), F.col("o")).alias("bound"))
 
 
-@query()
+def _featured(spark, d, *names: str):
+    """The sides with scalars made of the ids: aspects in eighths, holes and components; or aspect and fill."""
+    own = {"aspect": "cast(vec_id % 9 as double) / 4 - cast(label as double) / 8", "holes": "cast(vec_id % 4 as double)", "parts": "cast(1 + vec_id % 3 as double)", "fill": "cast(vec_id % 11 as double) / 16"}
+    rows = bitmaps(spark, d).select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), "v", F.array(*[F.expr(own[n]) for n in names]).alias("s"))
+    return rows.where("id % 5 = 0").select("id", "v", "s"), rows.where("id % 5 <> 0")
+
+
+_ASPECT = "abs((q.vec_id % 9)::DOUBLE / 4 - q.label::DOUBLE / 8 - ((t.vec_id % 9)::DOUBLE / 4 - t.label::DOUBLE / 8))"
+_GLYPH = f"round({_SAD}::DOUBLE / 255 + (14.0::DOUBLE * {_ASPECT} + 6.0::DOUBLE * abs(q.vec_id % 4 - t.vec_id % 4) + 10.0::DOUBLE * abs(q.vec_id % 3 - t.vec_id % 3)), 9)"
+_SIDES = f"WITH {BITMAPS_SQL}, ds AS (SELECT q.vec_id AS query, t.label::BIGINT AS label, t.vec_id AS tmpl, {{}} AS dist FROM bm q, bm t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0)"
+
+
+@query(f"""{_SIDES.format(_GLYPH)}, b AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY dist, tmpl) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, tmpl)::INT AS rk, min(dist) OVER (PARTITION BY query) AS best FROM b)
+SELECT query, label, round(dist, 6) AS dist, tmpl, rk FROM r WHERE rk <= 4 AND dist <= round(best + 15, 9)""")
+def nearest_glyphs(spark, d):
+    """The whole distance of glyphs: pixels, aspect, holes and components; the 4 best labels within 15."""
+    return knn.nearest_glyphs(*_featured(spark, d, "aspect", "holes", "parts")).withColumn("dist", F.round("dist", 6))
+
+
+_SPLIT = "list_sum(list_transform(list_zip(q.v, t.v, range(1, 65)), lambda z: abs(z[1] - z[2]) * CASE WHEN z[3] <= 48 THEN 10 ELSE 6 END))::BIGINT"
+_SHAPE = f"round({_SPLIT}::DOUBLE / 2550 + (40.0::DOUBLE * {_ASPECT} + 60.0::DOUBLE * abs((q.vec_id % 11)::DOUBLE / 16 - (t.vec_id % 11)::DOUBLE / 16)), 9)"
+
+
+@query(f"""{_SIDES.format(_SHAPE)}, n AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, tmpl) <= 5),
+b AS (SELECT query, label, count(*) AS n, round(sum(dist), 6) AS dist_sum, sum(1.0::DOUBLE / (1 + dist)) AS weight FROM n GROUP BY ALL),
+c AS (SELECT *, weight / sum(weight) OVER (PARTITION BY query) AS confidence FROM b)
+SELECT query, label, n, dist_sum, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY query ORDER BY round(confidence, 9) DESC, label)::INT AS rk FROM c""")
+def shape_votes(spark, d):
+    """Votes of the 5 nearest exemplars by the distance of shapes: 48 values as orientations, 16 as ink, aspect and fill."""
+    weighed = F.transform("v", lambda x, i: x * F.when(i < 48, 10).otherwise(6))
+    q, t = (side.withColumn("v", weighed) for side in _featured(spark, d, "aspect", "fill"))
+    return knn.shape_votes(q, t).select("query", "label", "n", F.round("dist_sum", 6).alias("dist_sum"), F.round("confidence", 6).alias("confidence"), "rk")
+
+
+@query(f"""WITH RECURSIVE {BITMAPS_SQL}, o AS (SELECT vec_id, label::BIGINT AS label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM bm WHERE vec_id % 5 <> 0),
+st AS (
+  SELECT label, k, vec_id, true AS kept, [v] AS held FROM o WHERE k = 1
+  UNION ALL
+  SELECT label, k, vec_id, ok, CASE WHEN ok THEN list_append(held, v) ELSE held END FROM (
+    SELECT o.label, o.k, o.vec_id, o.v, st.held, len(list_filter(st.held, lambda h: list_sum(list_transform(list_zip(h, o.v), lambda z: abs(z[1] - z[2]))) <= 1700)) = 0 AS ok
+    FROM st JOIN o ON o.label = st.label AND o.k = st.k + 1))
+SELECT vec_id AS id, label FROM st WHERE kept""")
 def templates_pruned(spark, d):
     return knn.pruned(_sides(spark, d)[1], 1700)
 
@@ -119,15 +161,6 @@ def tag_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query(f"""{_DIST.replace('q.vec_id % 5', 'q.vec_id % 10')}, n AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, tmpl) <= 3),
-b AS (SELECT query, label, sum(1.0::DOUBLE / (1 + dist)) AS weight FROM n GROUP BY ALL), c AS (SELECT *, weight / sum(weight) OVER (PARTITION BY query) AS score FROM b),
-t AS (SELECT query AS elem, max(round(score, 9)) AS score FROM c GROUP BY query HAVING max(round(score, 9)) >= 0.5)
-SELECT elem, 'kind' AS key, score, 'first' AS source FROM t UNION ALL SELECT elem, 'again', score, 'second' FROM t""")
-def packs_chained(spark, d):
-    q, t = _sides(spark, d)
-    return _chained(spark, q.where("id % 10 = 0"), t)
-
-
 def _chained(spark, q, t):
     elements = q.select(F.lit(0).cast("long").alias("frame"), F.col("id").alias("elem"), F.lit("Icon").alias("kind"), F.lit(16).alias("w"), F.lit(16).alias("h"), "v")
     vote = lambda e: knn.votes(e.select(F.col("elem").alias("id"), "v"), t, 3).select(F.lit(0).cast("long").alias("frame"), F.col("query").alias("elem"), F.col("label").cast("string").alias("value"), F.round("confidence", 9).alias("score"))
@@ -140,7 +173,7 @@ def _chained(spark, q, t):
 b AS (SELECT query, label, sum(1.0::DOUBLE / (1 + dist)) AS weight FROM n GROUP BY ALL), c AS (SELECT *, weight / sum(weight) OVER (PARTITION BY query) AS score FROM b),
 t AS (SELECT query AS elem, max(round(score, 9)) AS score FROM c GROUP BY query HAVING max(round(score, 9)) >= 0.5)
 SELECT elem, 'kind' AS key, score, 'first' AS source FROM t UNION ALL SELECT elem, 'again', score, 'second' FROM t""")
-def packs_chained_whole(spark, d):
+def packs_chained(spark, d):
     return _chained(spark, *_sides(spark, d))
 
 

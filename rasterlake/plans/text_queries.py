@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions import latex, text
+from rasterlake.operators.cut import cut
 from rasterlake.operators import scores
 from rasterlake.plans.adapters import table
 
@@ -116,15 +117,11 @@ def symbol_lookup(spark, d):
 SELECT token, n, round(1 - ln(n + 1) / ln((SELECT max(n) FROM n) + 1), 9) AS penalty FROM n""")
 def unigram_prior(spark, d):
     n = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    n = cut(n)  # counted once
     most = n.agg(F.max("n").alias("most"))
     return n.join(F.broadcast(most)).select("token", "n", F.round(1 - F.ln(F.col("n") + 1) / F.ln(F.col("most") + 1), 9).alias("penalty"))
 
 
-@query("""SELECT bit_xor(hash_) AS bits, count(*) AS n FROM (SELECT (doc_id * 2654435761) % 4294967296 AS hash_ FROM documents)""")
-def order_free_checksum(spark, d):
-    return table(spark, d, "documents").select(F.expr("(doc_id * 2654435761) % 4294967296").alias("h")).agg(F.bit_xor("h").alias("bits"), F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH m AS (SELECT md5(coalesce(doc_id::VARCHAR, '-') || ' ' || coalesce(md5(text), '-') || ' ' || coalesce(md5(source), '-')) AS m FROM documents),
 h AS (SELECT ('0x' || substr(m, 1, 8))::BIGINT AS a, ('0x' || substr(m, 9, 8))::BIGINT AS b FROM m)
 SELECT bit_xor(a) AS bits, sum(b)::BIGINT AS total, count(*) AS n FROM h""")

@@ -13,7 +13,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 def regions(boxes):
     """Regions of one frame's (id, x, y, w, h) by comparing every two boxes."""
-    boxes = [b for b in boxes if b[4] <= 16]
     grown = [(x - h * 8 // 10, x + w + h * 8 // 10, y - h * 5 // 10, y + h + h * 5 // 10) for _, x, y, w, h in boxes]
     left, out = set(range(len(boxes))), []
     while left:
@@ -37,7 +36,7 @@ def test_formula_regions_of_all_boxes(spark):
     for r in text_lines(spark, SF).collect():
         frames.setdefault(r["frame"], []).append((r["id"], r["x"], r["y"], r["w"], r["h"]))
     want = sorted((f, *g) for f, boxes in frames.items() for g in regions(boxes))
-    got = catalog.QUERIES["formula_regions_whole"](spark, SF).select("frame", "grp", "n", "x", "y", "w", "h").collect()
+    got = catalog.QUERIES["formula_regions"](spark, SF).select("frame", "grp", "n", "x", "y", "w", "h").collect()
     assert sorted(map(tuple, got)) == want
 
 
