@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.functions.geometry import Box
 from rasterlake.operators.graph import frame_components
+from rasterlake.operators.layout import nested
 from rasterlake.operators.ranges import overlap_join, with_bands
 
 BAND = 64
@@ -33,20 +34,16 @@ def containers(boxes: DataFrame) -> DataFrame:
 def forest(boxes: DataFrame) -> DataFrame:
     """frame, id, parent (-1 for roots), depth: each box's parent is the smallest box that holds it.
 
-    Of equally large ones, it is the latest; equal boxes nest in order of id. Parents come from a band join; depths
-    from one pass over each frame's parents, in the order in which boxes nest.
+    Of equally large ones, it is the latest; equal boxes nest in order of id. A frame's boxes, which are bounded, are
+    nested in one pass, largest first; containers() gives all pairs where frames are too large for that.
     """
-    parent = containers(boxes).groupBy("frame", "id").agg(F.min_by("container", F.struct(F.col("area"), (-F.col("container")).alias("k"))).alias("parent"))
-    linked = boxes.select("frame", "id", Box.named().area.alias("area")).join(parent, ["frame", "id"], "left").withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
-    def depths(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["area", "id"], ascending=[False, True], kind="stable")
-        depth: dict[int, int] = {}
-        for i, p in zip(g["id"], g["parent"]):
-            depth[i] = depth[p] + 1 if p >= 0 else 0
-        return g.assign(depth=[depth[i] for i in g["id"]])[["frame", "id", "parent", "depth"]]
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id", kind="stable")
+        ids, (up, depth) = g["id"].to_numpy(), nested(g[["x", "y", "w", "h"]].to_numpy())
+        return pd.DataFrame({"frame": g["frame"].iloc[0], "id": ids, "parent": [ids[k] if k >= 0 else -1 for k in up], "depth": depth})
 
-    return linked.groupBy("frame").applyInPandas(depths, "frame long, id int, parent int, depth int")
+    return boxes.select("frame", "id", "x", "y", "w", "h").groupBy("frame").applyInPandas(settle, "frame long, id int, parent int, depth int")
 
 
 def overlapping(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -90,12 +87,54 @@ def ratio(num: str, den: str):
     return F.when(F.col(den) > 0, F.col(num) / F.col(den)).otherwise(F.lit(0.0))
 
 
+def _ious(g: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in g and p, shared area and area of both together, of the boxes (x, y, w, h) of a frame that share any."""
+    found = []
+    for at in range(0, len(g), 512):
+        own = g[at : at + 512, None].astype(np.int64)
+        shared = np.maximum(0, np.minimum(own[..., 0] + own[..., 2], p[:, 0] + p[:, 2]) - np.maximum(own[..., 0], p[:, 0]))
+        shared = shared * np.maximum(0, np.minimum(own[..., 1] + own[..., 3], p[:, 1] + p[:, 3]) - np.maximum(own[..., 1], p[:, 1]))
+        i, j = np.nonzero(shared)
+        found.append((i + at, j, shared[i, j]))
+    i, j, shared = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (list(zip(*found)) or [(), (), ()]))
+    area = lambda b: b[:, 2].astype(np.int64) * b[:, 3]
+    return i, j, shared, area(g)[i] + area(p)[j] - shared
+
+
+def _greedy(i: np.ndarray, j: np.ndarray, shared: np.ndarray, joint: np.ndarray, gid: np.ndarray, pid: np.ndarray) -> list[int]:
+    """Pairs of a greedy one-to-one match, IoU >= 1 / 2, by falling IoU, then ids. At a higher threshold it is the same, cut short."""
+    order = np.lexsort((pid[j], gid[i], -(shared / joint)))
+    one, two, kept = set(), set(), []
+    for k in order[2 * shared[order] >= joint[order]].tolist():
+        if i[k] not in one and j[k] not in two:
+            one.add(i[k])
+            two.add(j[k])
+            kept.append(k)
+    return kept
+
+
+def _sides(gt: DataFrame, pred: DataFrame):
+    cols = ["frame", "id", "x", "y", "w", "h"]
+    return gt.select(*cols).groupBy("frame").cogroup(pred.select(*cols).groupBy("frame"))
+
+
 def detection_score(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row: counts, true positives at .50 and .75, precision, recall, F1 and mean best IoU, over all frames."""
-    pairs = overlapping(gt, pred)
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    iou = best_iou(gt, pairs).agg(F.sum(F.round(F.col("best") * 1_000_000).cast("long")).alias("iou6"))
-    rows = one(gt, "n_gt").join(one(pred, "n_pred")).join(one(matches(pairs, 1, 2), "tp50")).join(one(matches(pairs, 3, 4), "tp75")).join(iou)
+    """One row: counts, true positives at .50 and .75, precision, recall, F1 and mean best IoU, over all frames.
+
+    Both sides of a frame meet in one task, where pairs, best IoU and both thresholds come from one pass.
+    """
+
+    def score(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[["x", "y", "w", "h"]].to_numpy(), p[["x", "y", "w", "h"]].to_numpy()
+        i, j, shared, joint = _ious(a, b)
+        best = np.zeros(len(g))
+        np.maximum.at(best, i, shared / np.maximum(joint, 1))
+        kept = _greedy(i, j, shared, joint, g["id"].to_numpy(), p["id"].to_numpy())
+        more = int((4 * shared[kept] >= 3 * joint[kept]).sum()) if kept else 0
+        return pd.DataFrame({"n_gt": [len(g)], "n_pred": [len(p)], "tp50": [len(kept)], "tp75": [more], "iou6": [int(np.floor(best * 1_000_000 + 0.5).sum())]})
+
+    each = _sides(gt, pred).applyInPandas(score, "n_gt long, n_pred long, tp50 long, tp75 long, iou6 long")
+    rows = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns))
     rows = rows.withColumn("recall50", ratio("tp50", "n_gt")).withColumn("recall75", ratio("tp75", "n_gt")).withColumn("precision50", ratio("tp50", "n_pred"))
     f1 = F.when(F.col("tp50") > 0, 2 * F.col("tp50") / (F.col("n_gt") + F.col("n_pred"))).otherwise(F.lit(0.0))
     return rows.withColumn("f1_50", f1).withColumn("mean_best_iou", F.when(F.col("n_gt") > 0, F.col("iou6") / F.col("n_gt") / 1e6).otherwise(F.lit(0.0))).drop("iou6")
@@ -117,15 +156,24 @@ def grouping_counts(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def depth_score(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row: of boxes matched at IoU .50, how many lie equally deep, and how many have matched parents (or none)."""
-    m = matches(overlapping(gt, pred), 1, 2)
-    f, p = forest(gt), forest(pred)
-    fg = f.select("frame", F.col("id").alias("gid"), F.col("parent").alias("gparent"), F.col("depth").alias("gdepth"))
-    fp = p.select("frame", F.col("id").alias("pid"), F.col("parent").alias("pparent"), F.col("depth").alias("pdepth"))
-    up = m.select("frame", F.col("gid").alias("gparent"), F.col("pid").alias("mparent"))
-    rows = m.join(fg, ["frame", "gid"]).join(fp, ["frame", "pid"]).join(up, ["frame", "gparent"], "left")
-    same = ((F.col("gparent") < 0) & (F.col("pparent") < 0)) | ((F.col("gparent") >= 0) & (F.col("mparent") == F.col("pparent")))
-    out = rows.agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("gdepth") == F.col("pdepth")).alias("same_depth"), F.count_if(F.coalesce(same, F.lit(False))).alias("parent_ok"))
+    """One row: of boxes matched at IoU .50, how many lie equally deep, and how many have matched parents (or none).
+
+    Both sides of a frame meet in one task, which nests and matches them.
+    """
+
+    def score(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        g, p = g.sort_values("id", kind="stable"), p.sort_values("id", kind="stable")
+        a, b = g[["x", "y", "w", "h"]].to_numpy(), p[["x", "y", "w", "h"]].to_numpy()
+        i, j, shared, joint = _ious(a, b)
+        kept = _greedy(i, j, shared, joint, g["id"].to_numpy(), p["id"].to_numpy())
+        (up, deep), (over, low) = nested(a), nested(b)
+        other = {int(i[k]): int(j[k]) for k in kept}
+        same = sum(deep[m] == low[n] for m, n in other.items())
+        parent = sum(over[n] < 0 if up[m] < 0 else other.get(up[m], -2) == over[n] for m, n in other.items())
+        return pd.DataFrame({"matched": [len(kept)], "same_depth": [same], "parent_ok": [parent]})
+
+    each = _sides(gt, pred).applyInPandas(score, "matched long, same_depth long, parent_ok long")
+    out = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns))
     return out.withColumn("depth_precision", ratio("same_depth", "matched")).withColumn("parent_precision", ratio("parent_ok", "matched"))
 
 

@@ -426,7 +426,7 @@ def nested(boxes: np.ndarray) -> tuple[list[int], list[int]]:
     order = np.lexsort((np.arange(n), -area))
     for place, i in enumerate(order.tolist()):
         o = order[:place]
-        holds = o[(x[o] <= x[i]) & (y[o] <= y[i]) & (x[o] + w[o] >= x[i] + w[i]) & (y[o] + h[o] >= y[i] + h[i])]
+        holds = o[(area[o] > 0) & (x[o] <= x[i]) & (y[o] <= y[i]) & (x[o] + w[o] >= x[i] + w[i]) & (y[o] + h[o] >= y[i] + h[i])]
         if len(holds):
             parent[i] = int(holds[-1])  # the last in order is the smallest, and the latest of equal ones
             depth[i] = depth[parent[i]] + 1

@@ -89,14 +89,30 @@ def box_best_iou(spark, d):
     return B.best_iou(gt, B.overlapping(gt, found_boxes(spark, d))).withColumn("best", F.round("best", 9))
 
 
-@query()
+_GREEDY = """
+cd AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY shared::DOUBLE / (garea + parea - shared) DESC, gid, pid) AS k FROM pr WHERE 2 * shared >= garea + parea - shared),
+st AS (
+  SELECT frame, k, gid, pid, shared, garea, parea, true AS ok, [gid] AS us, [pid] AS vs FROM cd WHERE k = 1
+  UNION ALL
+  SELECT frame, k, gid, pid, shared, garea, parea, free, CASE WHEN free THEN list_append(us, gid) ELSE us END, CASE WHEN free THEN list_append(vs, pid) ELSE vs END FROM (
+    SELECT c.frame, c.k, c.gid, c.pid, c.shared, c.garea, c.parea, us, vs, NOT list_contains(us, c.gid) AND NOT list_contains(vs, c.pid) AS free FROM st JOIN cd c ON c.frame = st.frame AND c.k = st.k + 1)),
+m AS (SELECT frame, gid, pid, shared, garea + parea - shared AS joint FROM st WHERE ok)"""
+
+
+@query(f"{_TF}, {_PAIRS}, {_GREEDY} SELECT frame, gid, pid FROM m")
 def box_matches(spark, d):
     return B.matches(B.overlapping(true_boxes(spark, d), found_boxes(spark, d)), 1, 2)
 
 
-@query()
+@query(f"""{_TF}, {_PAIRS}, {_GREEDY},
+b AS (SELECT frame, gid, max(shared::DOUBLE / (garea + parea - shared)) AS best FROM pr GROUP BY ALL),
+c AS (SELECT (SELECT count(*) FROM tb) AS n_gt, (SELECT count(*) FROM fb) AS n_pred, (SELECT count(*) FROM m) AS tp50, (SELECT count(*) FROM m WHERE 4 * shared >= 3 * joint) AS tp75,
+  (SELECT sum(floor(best * 1000000 + 0.5::DOUBLE))::BIGINT FROM b) AS iou6)
+SELECT n_gt, n_pred, tp50, tp75, round(tp50 / n_gt, 9) AS recall50, round(tp75 / n_gt, 9) AS recall75, round(tp50 / n_pred, 9) AS precision50, round(2 * tp50 / (n_gt + n_pred), 9) AS f1_50,
+  round(iou6 / n_gt / 1e6::DOUBLE, 9) AS mean_best_iou FROM c""")
 def detection_score(spark, d):
-    return B.detection_score(true_boxes(spark, d), found_boxes(spark, d))
+    s = B.detection_score(true_boxes(spark, d), found_boxes(spark, d))
+    return s.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in s.dtypes))
 
 
 @query(f"""{_TF}, {_PAIRS},
@@ -109,9 +125,17 @@ def grouping_score(spark, d):
     return B.grouping_counts(true_boxes(spark, d), found_boxes(spark, d))
 
 
-@query()
+_FOUND_FOREST = _FOREST.replace("tb", "fb").replace("ct AS", "ct2 AS").replace("FROM ct ", "FROM ct2 ").replace("pa AS", "pa2 AS").replace("JOIN pa ", "JOIN pa2 ").replace("fp", "fp2").replace("dp", "dp2")
+
+
+@query(f"""{_TF}, {_PAIRS}, {_GREEDY}, {_FOREST}, {_FOUND_FOREST},
+r AS (
+  SELECT a.depth = b.depth AS same, CASE WHEN a.parent < 0 THEN b.parent < 0 ELSE coalesce(u.pid = b.parent AND b.parent >= 0, false) END AS ok
+  FROM m JOIN dp a ON a.frame = m.frame AND a.id = m.gid JOIN dp2 b ON b.frame = m.frame AND b.id = m.pid LEFT JOIN m u ON u.frame = m.frame AND u.gid = a.parent)
+SELECT count(*) AS matched, count(*) FILTER (same) AS same_depth, count(*) FILTER (ok) AS parent_ok, round(count(*) FILTER (same) / count(*), 9) AS depth_precision, round(count(*) FILTER (ok) / count(*), 9) AS parent_precision FROM r""")
 def depth_score(spark, d):
-    return B.depth_score(true_boxes(spark, d), found_boxes(spark, d))
+    s = B.depth_score(true_boxes(spark, d), found_boxes(spark, d))
+    return s.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in s.dtypes))
 
 
 _LINE = f"WITH RECURSIVE {TRUE_BOXES_SQL}, {TEXT_LINES_SQL}"

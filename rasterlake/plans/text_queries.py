@@ -80,7 +80,14 @@ def tsv_escapes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.escape(t).cast("binary")).alias("escaped"), (text.unescape(text.escape(t)) == t).alias("back"), F.md5(text.one_line(t).cast("binary")).alias("line"))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(translate(p_name, 'eo1', '5l0'), ' ')) AS word FROM part),
+n AS (SELECT *, length(regexp_replace(word, '[^2-9]', '', 'g')) AS digits, length(regexp_replace(word, '[^ABDEFGHJKLMNPQRTY]', '', 'g')) AS up, length(regexp_replace(word, '[^abdefghijkmnpqrty]', '', 'g')) AS lo FROM w),
+s AS (SELECT *, list_transform(string_split(word, ''), lambda c: CASE WHEN c = '5' AND digits = 1 AND up + lo >= 2 THEN CASE WHEN lo >= up THEN 's' ELSE 'S' END ELSE c END) AS cs FROM n)
+SELECT p_partkey, word, CASE WHEN digits > 0 AND up + lo = 0 THEN translate(word, 'oOlI|sS', '0011155') WHEN up + lo = 0 THEN array_to_string(cs, '')
+  ELSE array_to_string(list_transform(cs, lambda c, i: CASE WHEN c = '0' THEN CASE WHEN lo >= up THEN 'o' ELSE 'O' END
+    WHEN c = '1' AND up + lo > digits THEN CASE WHEN lo >= up THEN 'l' ELSE 'I' END
+    WHEN instr('cosvwxzuCOSVWXZU', c) > 0 AND c <> '' THEN CASE WHEN lo < up THEN upper(c) WHEN i > 1 OR lo = 0 THEN lower(c) ELSE c END
+    WHEN c = 'I' AND lo >= up AND i > 1 THEN 'l' WHEN c = 'l' AND lo < up THEN 'I' ELSE c END), '') END AS settled FROM s""")
 def words_harmonized(spark, d):
     words = table(spark, d, "part").select("p_partkey", F.explode(F.split(F.translate("p_name", "eo1", "5l0"), " ")).alias("word"))
     return words.select("p_partkey", "word", text.harmonize(F.col("word")).alias("settled"))
