@@ -117,3 +117,35 @@ def harmonize(word: Column) -> Column:
         return pa.array([None if w is None else harmonized(w) for w in words.to_pylist()], pa.string())
 
     return run(word)
+
+
+def decoded_utf8(data: bytes) -> str:
+    """Text of UTF-8 that may be broken: a byte that can't begin a character is U+FFFD, and so is a tail that is cut off.
+
+    What follows a leading byte isn't checked, and counts by its lower six bits.
+    """
+    out, at = [], 0
+    while at < len(data):
+        lead = data[at]
+        more = 0 if lead < 0x80 else 1 if lead >> 5 == 6 else 2 if lead >> 4 == 14 else 3 if lead >> 3 == 30 else -1
+        if more >= 0 and at + more >= len(data):
+            out.append("\ufffd")
+            break
+        point = 0xFFFD if more < 0 else lead if not more else lead & (0x3F >> more)
+        for b in data[at + 1 : at + 1 + max(0, more)]:
+            point = point << 6 | b & 0x3F
+        out.append(chr(point) if point < 0x110000 else "\ufffd")
+        at += 1 + max(0, more)
+    return "".join(out)
+
+
+def decode_utf8(data: Column) -> Column:
+    """decoded_utf8() of a binary column; null stays null."""
+
+    @F.arrow_udf("string")
+    def run(values):
+        import pyarrow as pa
+
+        return pa.array([None if v is None else decoded_utf8(v).encode("utf-8", "replace").decode() for v in values.to_pylist()], pa.string())
+
+    return run(data)

@@ -283,3 +283,33 @@ def votes(queries: DataFrame, exemplars: DataFrame, k: int = 5) -> DataFrame:
 def shape_votes(queries: DataFrame, exemplars: DataFrame, k: int = 5) -> DataFrame:
     """voted() by the k nearest exemplars of each query by the distance of shapes; rows as shape_rows() makes them."""
     return voted(nearest_shapes(queries, exemplars, k))
+
+
+def means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """The cluster of each row by Lloyd's rounds: seeds evenly spaced, ties to the lowest cluster, empty ones stay put."""
+    n = len(x)
+    centres = x[(2 * np.arange(k) + 1) * n // (2 * k)].astype(float)
+    own = np.zeros(n, int)
+    for _ in range(rounds):
+        far = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+        own = far.argmin(1)
+        size = np.bincount(own, minlength=k)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres[size > 0] = total[size > 0] / size[size > 0, None]
+    return own
+
+
+def leaves(x: np.ndarray, rows: int = 15) -> np.ndarray:
+    """The leaf of each row, of about so many rows, by clusters of clusters; leaves are numbered cluster by cluster."""
+    n = len(x)
+    out = np.zeros(n, int)
+    if not n:
+        return out
+    top, base = means(x, min(n, max(1, round((n / rows) ** 0.5)))), 0
+    for cluster in np.unique(top):
+        at = np.flatnonzero(top == cluster)
+        _, own = np.unique(means(x[at], -(-len(at) // rows)), return_inverse=True)
+        out[at] = base + own
+        base += int(own.max()) + 1
+    return out

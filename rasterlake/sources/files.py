@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import html
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions.text import escape, one_line, unescape
+from rasterlake.operators.raster import planes
 
 # The heads of the binary formats, and the record of a glyph (little-endian).
 ATLAS_MAGIC, PACK_MAGIC, VERSION = b"DKSA", b"DKPK", 1
+PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 GLYPH = struct.Struct("<IHHhHHHH")
 HOG, INK = 128, 64
 ATLAS_SCHEMA = "font string, ch int, px int, top int, w int, h int, cap_h int, x_h int, ink binary"
@@ -220,6 +225,116 @@ def decode_netpbm(data: bytes) -> tuple[int, int, str, bytes]:
     return (w, h, "Gray8" if size == 1 else "RGB24", pixels) if len(pixels) == w * h * size else (0, 0, "", b"")
 
 
+def _unfiltered(raw: bytes, rows: int, stride: int, step: int) -> np.ndarray | None:
+    """The bytes of PNG scanlines, each with its filter undone; None if there are too few or a filter is unknown."""
+    if len(raw) < rows * (stride + 1):
+        return None
+    lines = np.frombuffer(raw, np.uint8, rows * (stride + 1)).reshape(rows, stride + 1)
+    out = np.zeros((rows + 1, stride + step), np.uint8)  # a blank row above and a blank pixel to the left
+    for k in range(rows):
+        kind, line = int(lines[k, 0]), lines[k, 1:]
+        above, own = out[k], out[k + 1]
+        if kind == 0:
+            own[step:] = line
+        elif kind == 2:
+            own[step:] = line + above[step:]
+        elif kind == 1:
+            for c in range(step):  # a running sum modulo 256, colour by colour
+                own[step + c :: step] = np.cumsum(line[c::step], dtype=np.uint64).astype(np.uint8)
+        elif kind in (3, 4):
+            up, got = above.tolist(), [0] * (stride + step)
+            for x, v in enumerate(line.tolist(), step):
+                a, b, c = got[x - step], up[x], up[x - step]
+                if kind == 3:
+                    near = (a + b) // 2
+                else:
+                    p = a + b - c
+                    near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                got[x] = (v + near) & 255
+            own[:] = got
+        else:
+            return None
+    return out[1:, step:]
+
+
+def decode_png(data: bytes) -> tuple[int, int, str, bytes]:
+    """width, height, format and pixels of a PNG of 8 bits a channel, or of a palette; zeros and nothing for any other."""
+    none, at, packed, palette, head = (0, 0, "", b""), 8, [], None, None
+    while at + 8 <= len(data):
+        (n,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR" and n == 13:
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body[: n - n % 3], np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+        at += 12 + n
+    if not head or head[2] != 8 or head[3] not in (0, 2, 3, 4, 6) or head[6] or not packed or head[3] == 3 and palette is None:
+        return none
+    w, h, _, colour = head[:4]
+    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    try:
+        rows = _unfiltered(zlib.decompress(b"".join(packed)), h, w * step, step)
+    except zlib.error:
+        return none
+    if rows is None:
+        return none
+    rows = rows.reshape(h, w, step)
+    if colour == 3:
+        return (w, h, "RGB24", palette[np.minimum(rows[..., 0], len(palette) - 1)].tobytes()) if len(palette) else none
+    if colour == 4:
+        rows = rows[..., :1]
+    return w, h, {0: "Gray8", 2: "RGB24", 4: "Gray8", 6: "RGBA32"}[colour], rows.tobytes()
+
+
+def decode_bmp(data: bytes) -> tuple[int, int, str, bytes]:
+    """width, height, format and pixels of an uncompressed BMP of 24 or 32 bits; zeros and nothing for any other."""
+    if len(data) < 54:
+        return 0, 0, "", b""
+    start, _, w, h, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
+    stride, rows = (w * bits // 8 + 3) // 4 * 4, abs(h)
+    if bits not in (24, 32) or packing not in (0, 3) or w <= 0 or not rows or len(data) < start + stride * rows:
+        return 0, 0, "", b""
+    lines = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)[:, : w * bits // 8]
+    return w, rows, "BGR24" if bits == 24 else "BGRA32", (lines[::-1] if h > 0 else lines).tobytes()
+
+
+def decode_image(data: bytes) -> tuple[int, int, str, bytes]:
+    """An image by its first bytes: PNG, BMP, PGM or PPM; zeros and nothing for any other."""
+    return decode_png(data) if data[:8] == PNG_MAGIC else decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+
+
+def encode_png(width: int, height: int, form: str, pixels: bytes) -> bytes:
+    """A PNG of a frame: grey as grey, other formats as colours without transparency."""
+    rows = planes(width, height, form, pixels)
+    rows = rows[..., :1] if form == "Gray8" else rows
+    lines = np.zeros((height, 1 + width * rows.shape[2]), np.uint8)
+    lines[:, 1:] = rows.reshape(height, -1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if form == "Gray8" else 2, 0, 0, 0)
+    return PNG_MAGIC + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def encoded(frames: DataFrame) -> DataFrame:
+    """frames with a column png; frames without pixels have null."""
+
+    @F.arrow_udf("binary")
+    def run(w: pa.Array, h: pa.Array, form: pa.Array, pixels: pa.Array) -> pa.Array:
+        return pa.array([encode_png(*r) if r[0] and r[1] else None for r in zip(*(c.to_pylist() for c in (w, h, form, pixels)))], pa.binary())
+
+    return frames.withColumn("png", run("width", "height", "format", "pixels"))
+
+
+def report(rows: DataFrame, path: str, title: str, most: int = 1000) -> None:
+    """An HTML page with a table of at most `most` rows, as they are ordered; a report is for reading, so it is bounded."""
+    cell = lambda v: html.escape("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v))
+    line = lambda values, tag: "<tr>" + "".join(f"<{tag}>{cell(v)}</{tag}>" for v in values) + "</tr>"
+    body = "".join(line(r, "td") for r in rows.limit(most).collect())
+    page = f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table>{line(rows.columns, 'th')}{body}</table>"
+    rows.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """path, width, height, format, pixels of the images below a path; unreadable ones are empty frames."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -229,7 +344,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def decoded(content):
     @F.arrow_udf("struct<width: int, height: int, format: string, pixels: binary>")
     def run(contents: pa.Array) -> pa.Array:
-        rows = [decode_netpbm(c or b"") for c in contents.to_pylist()]
+        rows = [decode_image(c or b"") for c in contents.to_pylist()]
         types = (pa.int32(), pa.int32(), pa.string(), pa.binary())
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["width", "height", "format", "pixels"])
 

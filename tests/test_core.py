@@ -2,6 +2,7 @@
 
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -229,3 +230,65 @@ def test_streams_equal_batches(spark, tmp_path):
     assert read.count() == 9 and all(r["text"] == bytes(r["pixels"]).hex() for r in read.collect())
     counts = frames.run_to_end(frames.changed_counts(stream.select("ts", F.hex("pixels").alias("key"))), "counts", str(tmp_path / "c2"), "complete")
     assert counts.agg(F.sum("n")).first()[0] == 9
+
+
+def test_images_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rgb, grey = rng.integers(0, 256, (5, 7, 3), np.uint8), rng.integers(0, 256, (4, 3), np.uint8)
+    assert files.decode_image(files.encode_png(7, 5, "RGB24", rgb.tobytes())) == (7, 5, "RGB24", rgb.tobytes())
+    assert files.decode_image(files.encode_png(7, 5, "BGR24", rgb[..., ::-1].tobytes())) == (7, 5, "RGB24", rgb.tobytes())
+    assert files.decode_image(files.encode_png(3, 4, "Gray8", grey.tobytes())) == (3, 4, "Gray8", grey.tobytes())
+
+    def png(w, h, colour, lines, extra=b""):
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        return files.PNG_MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    # every filter, against what the format says of it byte by byte
+    raw = rng.integers(0, 256, (5, 7 * 4)).tolist()
+    for kind in range(5):
+        lines, above = b"", [0] * 28
+        for row in raw:
+            left = lambda x: row[x - 4] if x >= 4 else 0  # noqa: E731, B023
+            corner = lambda x: above[x - 4] if x >= 4 else 0  # noqa: E731, B023
+
+            def paeth(a, b, c):
+                p = a + b - c
+                return a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+
+            guess = [(0, left(x), above[x], (left(x) + above[x]) // 2, paeth(left(x), above[x], corner(x)))[kind] for x in range(28)]
+            lines += bytes([kind, *((v - g) & 255 for v, g in zip(row, guess))])
+            above = row
+        assert files.decode_png(png(7, 5, 6, lines)) == (7, 5, "RGBA32", bytes(sum(raw, [])))
+    palette = struct.pack(">I", 6) + b"PLTE" + bytes([1, 2, 3, 4, 5, 6]) + b"0000"
+    assert files.decode_png(png(2, 1, 3, bytes([0, 1, 0]), palette)) == (2, 1, "RGB24", bytes([4, 5, 6, 1, 2, 3]))
+    for bad in (b"", files.PNG_MAGIC, png(7, 5, 6, b"short"), png(7, 5, 6, bytes([9]) * 145), png(2, 1, 3, bytes([0, 1, 0])), b"BM" + bytes(60)):
+        assert files.decode_image(bad) == (0, 0, "", b"")
+    bmp = b"BM" + struct.pack("<IIIIiiHHIIiiII", 0, 0, 54, 40, 3, 2, 1, 24, 0, 0, 0, 0, 0, 0) + bytes(range(9)) + b"000" + bytes(range(9, 18)) + b"000"
+    assert files.decode_image(bmp) == (3, 2, "BGR24", bytes([*range(9, 18), *range(9)]))
+    df = spark.createDataFrame([(1, 7, 5, "RGB24", bytearray(rgb.tobytes())), (2, 0, 0, "", bytearray())], "frame long, width int, height int, format string, pixels binary")
+    out = {r["frame"]: r["png"] for r in files.encoded(df).collect()}
+    assert out[2] is None and files.decode_png(bytes(out[1]))[3] == rgb.tobytes()
+    files.report(df.select("frame", "width"), str(tmp_path / "report"), "A <title>", 1)
+    page = spark.read.text(str(tmp_path / "report")).first()["value"]
+    assert "A &lt;title&gt;" in page and page.count("<tr>") == 2
+
+
+def test_broken_utf8():
+    # a stray continuation byte and a bad lead are marks, a tail that is cut off is one and the end
+    for data, want in ((b"a\xc3\xa9\xe6\xbc\xa2\xf0\x9f\x98\x80", "aé漢😀"), (b"\x80b\xffc", "\ufffdb\ufffdc"), (b"ok\xe6\xbc", "ok\ufffd"), (b"", "")):
+        assert text.decoded_utf8(data) == want
+    assert text.decoded_utf8("ümlaut €".encode()) == "ümlaut €"
+
+
+def test_two_levels_of_means():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 5))
+    own = knn.means(x, 7)
+    assert (own == knn.means(x, 7)).all() and set(own) <= set(range(7))
+    centres = np.stack([x[own == j].mean(0) for j in sorted(set(own))])
+    wrong = sum(((x[i] - centres) ** 2).sum(1).argmin() != sorted(set(own)).index(own[i]) for i in range(400))
+    assert wrong < 60  # nearly settled after a few rounds
+    leaves = knn.leaves(x, 15)
+    sizes = np.bincount(leaves)
+    assert len(leaves) == 400 and sizes.min() >= 1 and 15 <= len(sizes) <= 60
+    assert knn.leaves(x[:0], 15).tolist() == [] and knn.leaves(x[:3], 15).tolist() == [0, 0, 0]
