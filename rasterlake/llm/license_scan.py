@@ -195,7 +195,7 @@ def texts_of(spark, path: str) -> dict[str, str]:
 
     For scan(texts=...): a catalogue's texts are broadcast as digests, so it is as large as the licences there are.
     """
-    rows = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.txt)?$", 1).alias("k"), F.decode("content", F.lit("UTF-8")).alias("t"))
+    rows = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.txt)?$", 1).alias("k"), F.decode("content", "UTF-8").alias("t"))
     return {r["k"]: r["t"] for r in rows.collect()}
 
 
