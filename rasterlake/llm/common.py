@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +36,6 @@ def _forget_others(name: str) -> None:
 
 
 def _give_back() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:

@@ -108,7 +108,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """docs as the mix has them: each row as often as it is taken, in whole texts.
 
     A source's cut is one key: texts up to it have one round more than the others, so texts pass through without a
-    shuffle. The text at the cut counts if half of it or more is within the budget; rows with equal ids go together.
+    shuffle. The text at the cut counts if half of it or more is within the budget; rows equal in id and text go together.
     Documents without a word stay out. Columns are those of docs; equal rows may follow each other.
     """
     cut = placed(sized(docs, seed)).groupBy("src").agg(
