@@ -5,6 +5,9 @@ of their bitmaps, and their scalars. The distance of a query to a box is never a
 is first measured against the block with the nearest box; what it finds there bounds what is still of interest, and
 only blocks whose box lies within the bound are searched after it. In a block, the distance of cell sums goes first, and
 exact distances are added up quarter by quarter for the templates that are still within the bound.
+
+An atlas is a dimension table: up to LOCAL templates, its blocks are broadcast and queries are answered where they lie.
+Beyond, blocks and queries are dealt to tasks and stream past each other.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from rasterlake.operators.shapes import ASPECT, COMPONENTS, HOLES, SHAPE_ASPECT,
 
 #: Templates of a block, about; blocks at most (their boxes are broadcast); queries that a copy of a block serves; cells.
 BLOCK, MOST_BLOCKS, SERVED, CELLS = 1024, 20_000, 100_000, 16
+#: Templates that are broadcast at most (some 1 KB each), and those of a block of them.
+LOCAL, LOCAL_BLOCK = 65_536, 256
 #: Distances are compared to so many decimals, so that sums in another order are ties.
 DECIMALS = 9
 
@@ -97,9 +102,65 @@ def _best(block: dict, at: np.ndarray, dist: np.ndarray, k: int, distinct: bool)
     return order[:k]
 
 
+class Index:
+    """The blocks of a broadcast table of templates."""
+
+    def __init__(self, metric: Metric, v: np.ndarray, s: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        self.metric, self.blocks = metric, []
+        order = np.lexsort((ids, v.sum(1)))
+        for k in range(0, len(order), LOCAL_BLOCK):
+            own = order[k : k + LOCAL_BLOCK]
+            self.blocks.append({"v": v[own], "c": _coarse(v[own]), "s": s[own], "id": ids[own], "label": labels[own]})
+        self.boxes = np.array([metric.box(b["v"], b["s"]) for b in self.blocks])
+
+    def nearest(self, v: np.ndarray, s: np.ndarray, far: np.ndarray, k: int, margin: float, distinct: bool) -> dict[str, np.ndarray]:
+        """label, dist and id of the k best, nearest first; far: the distances to the boxes."""
+        best = {"id": np.zeros(0, np.int64), "label": np.zeros(0, np.int64), "dist": np.zeros(0)}
+        most = float("inf")
+        for n in np.argsort(far, kind="stable").tolist():
+            if far[n] > most + 1e-9:
+                break
+            b = self.blocks[n]
+            at, dist = self.metric.within(v, s, b, most)
+            both = {"id": np.concatenate([best["id"], b["id"][at]]), "label": np.concatenate([best["label"], b["label"][at]]), "dist": np.concatenate([best["dist"], dist])}
+            own = _best(both, np.arange(len(both["id"])), both["dist"], k, distinct)
+            best = {c: x[own] for c, x in both.items()}
+            if len(own):
+                most = best["dist"][0] + margin if len(own) < k else min(best["dist"][-1], best["dist"][0] + margin)
+        keep = best["dist"] <= (round(best["dist"][0] + margin, DECIMALS) if len(best["dist"]) else 0.0)
+        return {c: x[keep] for c, x in best.items()}
+
+
 _FOUND = "query long, label long, dist double, tmpl long"
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.array(rows, kind).reshape(len(rows), -1)
+
+
+def _local(queries: DataFrame, rows: pa.Table, metric: Metric, k: int, margin: float, distinct: bool) -> DataFrame:
+    """search() with a broadcast index: no shuffle."""
+    of = _matrix(rows["v"], np.int64), _matrix(rows["s"], np.float64), rows["id"].to_numpy(), rows["label"].to_numpy()
+    shared = queries.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(metric, *shared.value)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, s = _matrix(b.column("v"), np.int64), _matrix(b.column("s"), np.float64)
+            far = metric.to_boxes(v, s, index.boxes)
+            found = [index.nearest(v[i], s[i], far[i], k, margin, distinct) for i in range(len(v))]
+            n = [len(f["id"]) for f in found]
+            flat = lambda c: np.concatenate([f[c] for f in found])  # noqa: E731, B023
+            rk = np.concatenate([np.arange(1, x + 1) for x in n]).astype(np.int32)
+            ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat("label")), pa.array(flat("dist")), pa.array(flat("id")), pa.array(rk)], ["query", "label", "dist", "tmpl", "rk"])
+
+    return queries.mapInArrow(run, _FOUND + ", rk int")
+
+
 def _searched(metric: Metric, k: int, margin: float, distinct: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each query's k best in a block. Rows come block by block, templates (kind 0) before queries (kind 1)."""
     key, rows, block = None, [], {}
@@ -134,13 +195,17 @@ def search(queries: DataFrame, templates: DataFrame, k: int, margin: float = flo
     """query, label, dist, tmpl, rk: exactly the k nearest templates of each query, or the nearest of the k nearest labels.
 
     queries: id, v (array<int>) and s (array<double>, as many as the metric weighs); templates: also label. Ties go to the
-    smaller id; what is farther than the best by more than margin is left out. Both sides are dealt anew, never joined
-    all with all; templates are copied only where a block has very many queries.
+    smaller id; what is farther than the best by more than margin is left out. Above LOCAL templates, both sides are dealt
+    anew, never joined all with all; templates are copied only where a block has very many queries.
     """
     spark, metric = queries.sparkSession, metric or Metric()
-    total = templates.count()
-    if not total:
+    q = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<int>").alias("v"), F.col("s").cast("array<double>").alias("s"))
+    few = templates.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("v").cast("array<int>").alias("v"), F.col("s").cast("array<double>").alias("s")).limit(LOCAL + 1).toArrow()
+    if not few.num_rows:
         return spark.createDataFrame([], _FOUND + ", rk int")
+    if few.num_rows <= LOCAL:
+        return _local(q, few, metric, k, margin, distinct)
+    total = templates.count()
     size = max(BLOCK, -(-total // MOST_BLOCKS))
     ink = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
     n = -(-total // size)
@@ -191,7 +256,6 @@ def search(queries: DataFrame, templates: DataFrame, k: int, margin: float = flo
         used = own.join(F.broadcast(out.select("block").distinct()), "block", "left_semi") if not first else own
         return used.unionByName(out).repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(visit, _FOUND)
 
-    q = queries.select("id", F.col("v").cast("array<int>").alias("v"), F.col("s").cast("array<double>").alias("s"))
     found = cut(met(q.withColumn("most", F.lit(float("inf"))), True))
     w = Window.partitionBy("query").orderBy("dist", "tmpl")
     kth = found.withColumn("rk", F.row_number().over(w)).groupBy("query").agg(F.min("dist").alias("best"), F.max("dist").alias("last"), F.count(F.lit(1)).alias("n"))

@@ -137,7 +137,12 @@ def test_texts(spark):
     assert [text.harmonized(w) for w in ("1O5l", "he1lO", "5TART5", "Cat", "20S4", "HELl0", "", "Word5")] == ["1051", "hello", "5TART5", "Cat", "2054", "HELIO", "", "Words"]
 
 
-def test_templates_within_bounds(spark):
+@pytest.mark.parametrize("local", [True, False])
+def test_templates_within_bounds(spark, monkeypatch, local):
+    monkeypatch.setattr(knn, "LOCAL_BLOCK", 8)
+    if not local:  # as for an atlas that is too large to be broadcast
+        monkeypatch.setattr(knn, "LOCAL", 10)
+        monkeypatch.setattr(knn, "BLOCK", 8)
     rng = np.random.default_rng(5)
     rows = [(i, i % 4, rng.integers(0, 255, 64).tolist()) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, label long, v array<int>")
