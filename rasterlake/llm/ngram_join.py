@@ -310,7 +310,8 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, classes, roots = joined(docs)
     named = classes.join(roots, F.col("name") == F.col("node"), "left").select("name", "rep", F.coalesce("root", "name").alias("root"))
     named = materialize(named, "rooted")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    # written, so that the join with the rows has both sides dealt for it and can split a component of very many rows
+    least = materialize(named.groupBy("root").agg(F.min("rep").alias("least")), "least")
     return rows.join(named.select("name", "root"), "name", "left").select("id", "hash", "n", "root"), least
 
 
