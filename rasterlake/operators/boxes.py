@@ -83,6 +83,13 @@ def best_iou(gt: DataFrame, pairs: DataFrame) -> DataFrame:
     return gt.select("frame", "id").join(best.withColumnRenamed("gid", "id"), ["frame", "id"], "left").select("frame", "id", F.coalesce("pid", F.lit(-1)).alias("pid"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
+def readings(gt: DataFrame, read: DataFrame, least: float = 0.3) -> DataFrame:
+    """frame, id, pid, text: the text of the box (frame, id, x, y, w, h, text) that overlaps most, empty below `least` IoU."""
+    best = best_iou(gt, overlapping(gt, read)).withColumn("pid", F.when(F.col("best") >= least, F.col("pid")).otherwise(F.lit(-1)))
+    texts = read.select("frame", F.col("id").alias("pid"), "text")
+    return best.join(texts, ["frame", "pid"], "left").select("frame", "id", "pid", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def ratio(num: str, den: str):
     return F.when(F.col(den) > 0, F.col(num) / F.col(den)).otherwise(F.lit(0.0))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterlake.operators import knn, shapes
 from rasterlake.operators.cut import cut
 
 TAG_SCHEMA = "frame long, elem long, key string, value string, score double, source string, seq long"
@@ -102,3 +103,52 @@ def recall_by_class(rows: DataFrame) -> DataFrame:
 def every_nth(rows: DataFrame, label: str, order: str, nth: int) -> Column:
     """Whether a row is held out: every nth of its label, in order."""
     return F.row_number().over(Window.partitionBy(label).orderBy(order)) % nth == 0
+
+
+def template_pack(name: str, key: str, exemplars: DataFrame, scope: Scope = Scope(), k: int = 5) -> Pack:
+    """A pack that lets the k nearest exemplars (id, label, v, s) vote; elements have v and s, see knn.shape_rows().
+
+    Labels are numbered in order of their first exemplar, which settles equal votes. Without exemplars it never matches.
+    """
+    first = exemplars.groupBy("label").agg(F.min("id").alias("first"))
+    classes = cut(first.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("class")))  # as many as classes
+    numbered = cut(exemplars.join(F.broadcast(classes), "label").select("id", F.col("class").alias("label"), "v", "s"))
+
+    def classify(elements: DataFrame) -> DataFrame:
+        asked = elements.select((F.col("frame") * MOST_ELEMENTS + F.col("elem")).alias("id"), "v", "s")
+        voted = knn.shape_votes(asked, numbered, k).withColumnRenamed("label", "class").join(F.broadcast(classes), "class")
+        return voted.select(F.expr(f"query div {MOST_ELEMENTS}").alias("frame"), (F.col("query") % MOST_ELEMENTS).alias("elem"), F.col("label").alias("value"), F.col("confidence").alias("score"))
+
+    return Pack(name, key, classify, scope)
+
+
+def state_pack(name: str = "check-state", key: str = "widget.state", scope: Scope = Scope()) -> Pack:
+    """The rule pack: whether a control is checked, by the spread in its middle; elements have crop and width."""
+
+    def classify(elements: DataFrame) -> DataFrame:
+        return elements.select("frame", "elem", shapes.state_of(F.col("crop"), F.col("width")).alias("t")).where("t is not null").select("frame", "elem", "t.value", "t.score")
+
+    return Pack(name, key, classify, scope)
+
+
+#: Elements of a frame, at most, for numbers of elements over all frames.
+MOST_ELEMENTS = 1_000_000
+#: Packs with this in their name look only at elements that an earlier pack called one of these.
+STATE_NAME, STATEFUL = "state", ("ui.checkbox", "ui.radio")
+
+
+def registry_of(exemplars: DataFrame) -> Registry:
+    """The packs of exemplars (pack, tag_key, k, ex_id, label, log_aspect, fill, hog, ink), as files of packs have them.
+
+    In order of their names. Packs for states apply to widgets that have one; where no pack writes states, a rule does.
+    """
+    bytes_of = lambda c: F.expr(f"transform(sequence(1, length({c})), i -> cast(conv(hex(substring({c}, i, 1)), 16, 10) as int))")
+    feature = F.struct(bytes_of("hog").alias("hog"), bytes_of("ink").alias("ink"), F.col("log_aspect").cast("double").alias("log_aspect"), F.col("fill").cast("double").alias("fill"))
+    out, stateful = Registry(), Scope(needs="widget", values=STATEFUL)
+    names = exemplars.select("pack", "tag_key", "k").distinct().orderBy("pack").collect()  # as many as packs
+    for name, key, k in names:
+        own = exemplars.where(F.col("pack") == name).select(F.col("ex_id").cast("long").alias("id"), "label", feature.alias("f"))
+        out.add(template_pack(name, key, knn.shape_rows(own, "f", "label"), stateful if STATE_NAME in name else Scope(), k))
+    if not any(key == "widget.state" for _, key, _ in names):
+        out.add(state_pack(scope=stateful))
+    return out

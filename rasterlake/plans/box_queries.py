@@ -89,6 +89,14 @@ def box_best_iou(spark, d):
     return B.best_iou(gt, B.overlapping(gt, found_boxes(spark, d))).withColumn("best", F.round("best", 9))
 
 
+@query(f"""{_TF}, {_PAIRS}, bi AS (SELECT frame, gid, pid, shared::DOUBLE / (garea + parea - shared) AS iou FROM pr),
+b AS (SELECT * FROM bi WHERE iou >= 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY frame, gid ORDER BY iou DESC, pid) = 1)
+SELECT tb.frame, tb.id, coalesce(b.pid, -1)::INT AS pid, coalesce('box ' || b.pid, '') AS text FROM tb LEFT JOIN b ON tb.frame = b.frame AND tb.id = b.gid""")
+def box_readings(spark, d):
+    read = found_boxes(spark, d).withColumn("text", F.concat(F.lit("box "), F.col("id").cast("string")))
+    return B.readings(true_boxes(spark, d), read)
+
+
 _GREEDY = """
 cd AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY shared::DOUBLE / (garea + parea - shared) DESC, gid, pid) AS k FROM pr WHERE 2 * shared >= garea + parea - shared),
 st AS (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.operators import fits, shapes
 from rasterlake.plans.adapters import PIXELS_SQL, bitmaps, table, text_lines
-from rasterlake.plans.raster_queries import _RUNS
+from rasterlake.plans.raster_queries import _RUNS, _comp
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,7 +27,21 @@ def shape_descriptors(spark, d):
     return bitmaps(spark, d).select("vec_id", shapes.shape_of(F.col("v"), F.lit(8)).alias("s")).select("vec_id", "s.*")
 
 
-@query()
+# the control is the component of what stands out from the border that has the largest box; of its middle, the spread counts
+_CONTROLS = f"""WITH RECURSIVE {PIXELS_SQL},
+bd AS (SELECT frame, list(v ORDER BY v) AS s FROM px WHERE x IN (0, 7) OR y IN (0, 7) GROUP BY frame),
+mk AS (SELECT px.frame, x, y, (abs(v - s[len(s) // 2 + 1]) > 40)::INT AS v FROM px JOIN bd USING (frame)), {_RUNS},{_comp(1).partition(_RUNS + ",")[2]},
+bx AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY frame ORDER BY w * h DESC, comp) = 1),
+ct AS (SELECT bd.frame, CASE WHEN ok THEN x ELSE 0 END AS x, CASE WHEN ok THEN y ELSE 0 END AS y, CASE WHEN ok THEN w ELSE 8 END AS w, CASE WHEN ok THEN h ELSE 8 END AS h
+  FROM bd LEFT JOIN (SELECT *, w >= 2 AND h >= 2 AS ok FROM bx) USING (frame)),
+md AS (SELECT *, greatest(1, floor(w * 0.6::DOUBLE))::INT AS iw, greatest(1, floor(h * 0.6::DOUBLE))::INT AS ih FROM ct),
+sp AS (
+  SELECT md.frame, list(v ORDER BY v) AS s FROM md JOIN px ON px.frame = md.frame
+    AND px.x >= md.x + (w - iw) // 2 AND px.x < md.x + (w - iw) // 2 + iw AND px.y >= md.y + (h - ih) // 2 AND px.y < md.y + (h - ih) // 2 + ih GROUP BY md.frame),
+sd AS (SELECT frame, s[(95 * len(s) + 99) // 100] - s[(5 * len(s) + 99) // 100] AS spread FROM sp)"""
+
+
+@query(f"""{_CONTROLS} SELECT frame AS vec_id, CASE WHEN spread > 40 THEN 'checked' ELSE 'unchecked' END AS value, round(least(1.0::DOUBLE, 0.5::DOUBLE + abs(spread - 40) / 120.0::DOUBLE), 6) AS score FROM sd""")
 def check_states(spark, d):
     return bitmaps(spark, d).select("vec_id", shapes.state_of(F.col("v"), F.lit(8)).alias("s")).select("vec_id", "s.value", F.round("s.score", 6).alias("score"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.operators import layout, math_reading, packs, reading
+from rasterlake.operators import knn, layout, math_reading, packs, reading, shapes
 from rasterlake.operators.cut import cut
 from rasterlake.plans.stages import Pipeline, Stage, Tables
 
@@ -48,12 +48,23 @@ def text_stage(atlas: DataFrame, rules: reading.ReadRules = reading.ReadRules(),
     return stage
 
 
+def with_crops(frames: DataFrame, elements: DataFrame, around: int = 2) -> DataFrame:
+    """Elements with their crops, widened by a margin, and the shape rows of them: crop, width, v and s."""
+    own = elements.where("level = 'element'")
+    every = reading.VerifyRules(tallest=1 << 30, kinds=("Text", "Icon", "Image", "Container"), around=around)
+    crops = reading.box_crops(frames, elements, every).select("crop.*", F.col("v").alias("pixels"), "width")
+    shaped = crops.select((F.col("frame") * packs.MOST_ELEMENTS + F.col("elem")).alias("id"), "frame", "elem", "pixels", F.col("width").alias("across"), shapes.shape_of(F.col("pixels"), F.col("width")).alias("f"))
+    rows = knn.shape_rows(shaped, "f", "frame", "elem", "pixels", "across").drop("id")
+    return own.join(rows, ["frame", "elem"]).withColumnsRenamed({"pixels": "crop", "across": "width"})
+
+
 def pack_stage(registry: packs.Registry) -> Stage:
+    """Packs see elements with the columns of with_crops()."""
+
     def stage(tables: Tables) -> Tables:
         if "elements" not in tables:
             return {}
-        own = tables["elements"].where("level = 'element'")
-        return {"tags": packs.detect(own, tables["tags"], registry)}
+        return {"tags": packs.detect(cut(with_crops(tables["frames"], tables["elements"])), tables["tags"], registry)}
 
     return stage
 

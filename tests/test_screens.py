@@ -350,6 +350,40 @@ def test_packs_and_cursors_in_spark(spark):
     assert after[15, 13:19, 0].tolist() == [(row[0] * (7 - k) + row[7] * k) // 7 for k in range(1, 7)]
 
 
+def test_packs_from_files_in_spark(spark, tmp_path):
+    """Exemplars of two widgets drawn in other sizes, written and read as a pack file; states by the rule."""
+    from rasterlake.operators import shapes
+    from rasterlake.sources import files
+
+    def widget(w, h, mark):
+        page = np.full((h + 4, w + 4), 240)
+        page[2 : h + 2, 2 : w + 2] = 15
+        page[4:h, 4:w] = 240
+        if mark:
+            page[h // 2 - 2 : h // 2 + 6, w // 2 - 2 : w // 2 + 6] = 15
+        return page
+
+    rows = []
+    for n, (label, w, h, mark) in enumerate([("ui.checkbox", 26, 26, False), ("ui.checkbox", 30, 30, True), ("ui.checkbox", 24, 24, True), ("ui.checkbox", 28, 28, False), ("ui.switch", 44, 20, False), ("ui.switch", 48, 22, False), ("ui.switch", 40, 18, False)]):
+        f = shapes.shape(widget(w, h, mark))
+        rows.append(("widgets", "widget", 3, n, label, f["log_aspect"], f["fill"], bytes(f["hog"]), bytes(f["ink"])))
+    (tmp_path / "widgets.pack").write_bytes(files.build_pack(rows))
+    registry = packs.registry_of(files.read_packs(spark, str(tmp_path)))
+    assert list(registry.packs) == ["widgets", "check-state"]
+    page = blank(80, 200)
+    for x, y, w, h, mark in ((12, 14, 28, 28, True), (60, 14, 28, 28, False), (110, 22, 44, 20, False)):
+        page[y - 2 : y + h + 2, x - 2 : x + w + 2] = widget(w, h, mark)[..., None]
+    frames = spark.createDataFrame(frame_rows(page), FRAME)
+    atlas = reading.templates(spark.createDataFrame([(*r[:-1], bytearray(r[-1])) for r in font.atlas((3,))], ATLAS_SCHEMA))
+    out = screen_pipeline(spark, atlas, registry=registry).run({"frames": frames})
+    where = {r["elem"]: r["x"] for r in out["elements"].where("level = 'element'").collect()}
+    got = {(where[r["elem"]] // 50, r["key"]): r["value"] for r in out["tags"].where("key like 'widget%'").collect() if where[r["elem"]] > 0}
+    assert got[0, "widget"] == got[1, "widget"] == "ui.checkbox" and got[2, "widget"] == "ui.switch"
+    assert got[0, "widget.state"] == "checked" and got[1, "widget.state"] == "unchecked" and (2, "widget.state") not in got
+    saved = packs.registry_of(files.read_packs(spark, str(tmp_path)).withColumn("pack", F.lit("my state")).withColumn("tag_key", F.lit("widget.state")))
+    assert list(saved.packs) == ["my state"] and saved.packs["my state"].scope.needs == "widget"
+
+
 # ---- formulas
 
 
