@@ -23,8 +23,9 @@ from rasterlake.llm.common import bounded_batches, lean, materialize, table
 
 #: Bounds of the sample that the tree is fitted on and of the queries that it is calibrated with.
 SAMPLE, CALIBRATED = 20_000, 300
-#: Vectors a leaf, about; leaves at most; rows of a block of vectors; queries that one copy of a block serves, about.
-LEAF_ROWS, MOST_LEAVES, BLOCK, SERVED = 100, 2000, 8192, 100_000
+#: Vectors a leaf, about, in trees of up to FINE leaves and beyond; leaves at most; rows of a block of vectors; queries that
+#: one copy of a block serves, about.
+FINE_ROWS, FINE, LEAF_ROWS, MOST_LEAVES, BLOCK, SERVED = 16, 500, 100, 2000, 8192, 100_000
 #: Standard deviations above the mean at which a node's best vectors are expected.
 REACH = 2.0
 #: Recall that calibration asks for; it is measured on the sample.
@@ -90,10 +91,15 @@ class Tree:
         return out
 
 
+def leaves_of(vectors: int) -> int:
+    """How many leaves a tree over so many vectors has, about."""
+    return min(MOST_LEAVES, max(vectors // LEAF_ROWS, min(FINE, vectors // FINE_ROWS)))
+
+
 def fit(x: np.ndarray, leaves: int = 0) -> Tree:
-    """A tree of about so many leaves (0: by LEAF_ROWS) over the rows of a sample (doubles), the same at every run."""
+    """A tree of about so many leaves (0: by the rows) over the rows of a sample (doubles), the same at every run."""
     rng, x = np.random.default_rng(5), np.unique(x, axis=0)
-    leaves = max(1, min(MOST_LEAVES, leaves or len(x) // LEAF_ROWS, len(x) // 4))
+    leaves = max(1, min(leaves or leaves_of(len(x)), len(x) // 4))
     levels = 1 if leaves <= 8 else 2 if leaves <= 1000 else 3
     branches = max(2, round(leaves ** (1 / levels)))
     centres, spreads, parents, own = [], [], [], np.zeros(len(x), np.int64)
@@ -213,7 +219,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     clean = clean.where(F.size("x") == sizes[0]["n"])
     sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("x").toArrow()
     x = _matrix(sample["x"]).astype(np.float64)
-    tree = fit(x, sizes[0]["count"] // LEAF_ROWS)
+    tree = fit(x, leaves_of(sizes[0]["count"]))
     most = calibrate(tree, x, k)
     shared = spark.sparkContext.broadcast((tree.centres, tree.spreads, tree.parents))
     branch = tree.parents[-1]  # of each leaf
