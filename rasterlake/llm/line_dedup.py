@@ -31,7 +31,7 @@ PASSAGE, REACH, AROUND = 50, 4, 50
 #: Pieces that a task holds before it passes them on. Speed, not results.
 HELD = 250_000
 
-_words = re.compile(WORD).finditer
+_places, _words = re.compile(WORD).finditer, re.compile(WORD).findall
 _ends = re.compile(r"\n|[.!?…][ \t]+").finditer
 _P, _Q = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -158,14 +158,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut("text", gone))).select(*docs.columns).unionByName(others)
 
 
+_KEPT = 1 << 17
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
+    """n + 1 powers of an odd base modulo 2**64, and of its inverse; those for all but very long texts are kept."""
+    if n < _KEPT and base in _kept:
+        return tuple(p[: n + 1] for p in _kept[base])
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
-        f = np.full(n + 1, b, np.uint64)
+        f = np.full(max(n, _KEPT) + 1, b, np.uint64)
         f[0] = 1
         out.append(np.multiply.accumulate(f))
-    return out[0], out[1]
+    if n < _KEPT:
+        _kept[base] = tuple(out)
+    return out[0][: n + 1], out[1][: n + 1]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -194,35 +202,84 @@ def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     roll[1:] += word[:-1] * _P
     roll[2:] += word[:-2] * _P * _P
     roll = _mixed(roll)
-    wide = np.concatenate((np.full(REACH, np.iinfo(np.uint64).max), roll, np.full(REACH, np.iinfo(np.uint64).max)))
-    least = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + 1).min(axis=1)
-    ends = (np.flatnonzero(roll == least) + 1).tolist()
-    cuts, at = [0], 0
-    for end in ends:
-        # only words that repeat at once put ends closer together
-        if end - at > REACH or at == 0:
-            cuts.append(end)
+    wide = np.full(n + 2 * REACH, np.iinfo(np.uint64).max)
+    wide[REACH : n + REACH] = roll
+    least, span = wide, 1
+    while span < 2 * REACH + 1:  # the least of each window, from windows of half its width and more
+        step = min(span, 2 * REACH + 1 - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    ends = np.flatnonzero(roll == least) + 1
+    if (np.diff(ends) <= REACH).any():  # only words that repeat at once put ends closer together
+        far, at = [], 0
+        for end in ends.tolist():
+            if end - at > REACH or at == 0:
+                far.append(end)
+                at = end
+        ends = np.array(far)
+    cuts = np.concatenate((np.zeros(1, np.int64), ends, np.full(int(ends[-1] < n), n)))
+    run = lambda f, t: _mixed((total[t] - total[f]) * down[f] + (t - f).astype(np.uint64))
+    lines = _line_chunks(b, starts, stops, run)
+    f, t = np.concatenate((cuts[:-1], lines[0])), np.concatenate((cuts[1:], lines[1]))
+    return f, t, run(f, t), np.arange(len(f)) >= len(cuts) - 1
+
+
+def _line_chunks(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, run) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) by word numbers of the chunks of lines that may go, as chunks() has them, from a text's bytes and words.
+
+    A line ends before a gap with a line feed, or after a word that ends as a sentence does with a blank or tab behind it.
+    The rolling hash goes over hashes of the words of lines.
+    """
+    nothing = np.zeros(0, np.int64)
+    n = len(starts)
+    if n < LEAST_WORDS:
+        return nothing, nothing
+    feeds = np.concatenate((np.zeros(1, np.int64), np.cumsum(b == 10)))
+    last, after = b[stops[:-1] - 1], b[stops[:-1]]
+    mark = (last == 46) | (last == 33) | (last == 63)
+    wide = np.flatnonzero(last == 0xA6)  # the last of the three bytes of an ellipsis
+    if len(wide):
+        at = stops[wide]
+        mark[wide] = (at >= 3) & (b[at - 2] == 0x80) & (b[np.maximum(at - 3, 0)] == 0xE2)
+    ends = np.flatnonzero((feeds[starts[1:]] > feeds[stops[:-1]]) | (mark & ((after == 32) | (after == 9)))) + 1
+    edge = np.concatenate((np.zeros(1, np.int64), ends, np.array([n])))
+    if len(edge) <= LEAST_LINES:
+        return nothing, nothing
+    h = run(edge[:-1], edge[1:])
+    roll = h.copy()
+    roll[1:] += h[:-1] * _P
+    roll = _mixed(roll)
+    cut = np.flatnonzero((roll >> np.uint64(33)) % np.uint64(DIVISOR) == 0) + 1
+    out, at = [], 0
+    for end in [*cut.tolist(), len(h)]:
+        while end - at > MOST_LINES:
+            out.append((at, at + MOST_LINES))
+            at += MOST_LINES
+        if end - at >= LEAST_LINES:
+            out.append((at, end))
             at = end
-    if cuts[-1] < n:
-        cuts.append(n)
-    lines = chunks(text)
-    where = starts if len(b) == len(text) else np.cumsum((b & 0xC0) != 0x80)[starts] - 1
-    f = np.concatenate((np.array(cuts[:-1], np.int64), np.searchsorted(where, [x[0] for x in lines]).astype(np.int64)))
-    t = np.concatenate((np.array(cuts[1:], np.int64), np.searchsorted(where, [x[1] for x in lines]).astype(np.int64)))
-    digest = _mixed((total[t] - total[f]) * down[f] + (t - f).astype(np.uint64))
-    return f, t, digest, np.arange(len(f)) >= len(cuts) - 1
+    f, t = (edge[np.array(c, np.int64)] for c in zip(*out)) if out else (nothing, nothing)
+    enough = t - f >= LEAST_WORDS
+    return f[enough], t[enough]
 
 
 _PLACE = "id long, hash long, a int, b int"
-#: A piece as it is dealt: its digest, its place (document, first word), its words, and whether its id is null, it is a
-#: chunk of lines, and its task has more of its digest.
-_PIECE = np.dtype([("digest", "<u8"), ("null", "u1"), ("id", "<i8"), ("hash", "<i8"), ("a", "<i4"), ("b", "<i4"), ("lines", "u1"), ("more", "u1")])
-_FOUND = "kind int, digest long, id long, hash long, a int, b int, lines boolean, fid long, fhash long, fa int"
+#: A piece as it is dealt: its digest, its place (document, first word), its words, those of the pieces before and after it,
+#: and whether its id is null, it is a chunk of lines, and its task has more of its digest.
+_PIECE = np.dtype([("digest", "<u8"), ("null", "u1"), ("id", "<i8"), ("hash", "<i8"), ("a", "<i4"), ("b", "<i4"), ("before", "<u2"), ("after", "<u2"), ("lines", "u1"), ("more", "u1")])
+_FOUND = "kind int, digest long, id long, hash long, a int, b int, low int, high int, lines boolean, fid long, fhash long, fa int"
+#: Words at the ends of an agreement in which other words around may have put the ends of pieces elsewhere.
+UNSURE = REACH + 3
 
 
 def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces by digest and place, each place once with the marks of all, and which of them are the first of a digest."""
-    rows = rows[np.lexsort((rows["a"], rows["hash"], rows["id"], rows["null"], rows["digest"]))]
+    rows = rows[np.argsort(rows["digest"], kind="stable")]
+    equal = np.flatnonzero(np.diff(rows["digest"]) == 0)
+    if len(equal):  # only those of one digest need an order of their own
+        at = np.unique(np.concatenate((equal, equal + 1)))
+        own = rows[at]
+        rows[at] = own[np.lexsort((own["a"], own["hash"], own["id"], own["null"], own["digest"]))]
     same = np.ones(max(0, len(rows) - 1), bool)
     for name in ("digest", "null", "id", "hash", "a"):
         same &= rows[name][1:] == rows[name][:-1]
@@ -259,6 +316,9 @@ def _dealt(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for i, h, text in zip(b.column("id").to_pylist(), b.column("hash").to_pylist(), b.column("text").to_pylist()):
             f, t, digest, lines = pieces(text)
             rows = np.zeros(len(f), _PIECE)
+            own = np.minimum((t - f)[~lines], 65_535)  # pieces of words follow each other
+            if len(own) > 1:
+                rows["before"][1 : len(own)], rows["after"][: len(own) - 1] = own[:-1], own[1:]
             rows["digest"], rows["null"], rows["id"], rows["hash"], rows["a"], rows["b"], rows["lines"] = digest, i is None, i or 0, h, f, t, lines
             held.append(rows)
             n += len(f)
@@ -272,7 +332,7 @@ def _dealt(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def _rows(kind: int, rows: np.ndarray, first: np.ndarray | None = None) -> pa.RecordBatch:
     ids = lambda x: pa.array(x["id"], pa.int64(), mask=x["null"] == 1)
     n = len(rows)
-    own = [pa.array(np.full(n, kind, np.int32)), pa.array(rows["digest"].view(np.int64)), ids(rows), pa.array(rows["hash"]), pa.array(rows["a"]), pa.array(rows["b"]), pa.array(rows["lines"] == 1)]
+    own = [pa.array(np.full(n, kind, np.int32)), pa.array(rows["digest"].view(np.int64)), ids(rows), pa.array(rows["hash"]), pa.array(rows["a"]), pa.array(rows["b"]), pa.array(rows["a"] - rows["before"].astype(np.int32)), pa.array(rows["b"] + rows["after"].astype(np.int32)), pa.array(rows["lines"] == 1)]
     of = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())] if first is None else [ids(first), pa.array(first["hash"]), pa.array(first["a"])]
     return pa.RecordBatch.from_arrays([*own, *of], [f.split()[0] for f in _FOUND.split(", ")])
 
@@ -310,7 +370,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         own, f, t, left, content = [], [], [], [], []
         for i, (text, asked) in enumerate(zip(b.column("text").to_pylist(), b.column("asked").to_pylist())):
-            words = [m.group() for m in _words(text)]
+            words = _words(text)
             for run in asked:
                 low = max(0, run["a"] - AROUND)
                 own.append(i)
@@ -327,8 +387,7 @@ def cut_runs(text: str | None, runs: list[dict] | None) -> str | None:
     """A text without its words that agree with the first place of a run, where they are enough."""
     if not runs:
         return text
-    found = list(_words(text))
-    words = [m.group() for m in found]
+    words = _words(text)
     gone = np.zeros(len(words) + 1, np.int8)
     for run in runs:
         a, b, other = run["a"], run["b"], run["content"].split(" ")
@@ -341,6 +400,9 @@ def cut_runs(text: str | None, runs: list[dict] | None) -> str | None:
             b, y = b + 1, y + 1
         if run["lines"] or b - a >= PASSAGE:
             gone[a:b] = 1
+    if not gone.any():
+        return text
+    found = list(_places(text))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone)))).tolist()
     out, at = [], 0
     for a, b in zip(edges[::2], edges[1::2]):
@@ -366,9 +428,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     dealt = named.mapInArrow(deal, "bucket int, later boolean, packed binary").repartition(buckets, "bucket")
     found = materialize(dealt.mapInArrow(_met, _FOUND), "found")
     first = found.where("kind = 2").select("digest", F.struct("id", "hash", "a").alias("first"))
-    alone = found.where("kind = 1").select("digest", "id", "hash", "a", "b", "lines").join(first, "digest")
-    later = alone.select("id", "hash", "a", "b", "lines", F.col("first.id").alias("fid"), F.col("first.hash").alias("fhash"), F.col("first.a").alias("fa"))
-    later = later.unionByName(found.where("kind = 0").select("id", "hash", "a", "b", "lines", "fid", "fhash", "fa"))
+    own = ["id", "hash", "a", "b", "low", "high", "lines"]
+    alone = found.where("kind = 1").select("digest", *own).join(first, "digest")
+    later = alone.select(*own, F.col("first.id").alias("fid"), F.col("first.hash").alias("fhash"), F.col("first.a").alias("fa"))
+    later = later.unionByName(found.where("kind = 0").select(*own, "fid", "fhash", "fa"))
+    # pieces that follow each other are a stretch; an agreement reaches into the pieces beside it, but not beyond, so that
+    # a short stretch without a chunk of lines can't be a passage
+    w = Window.partitionBy("id", "hash").orderBy("a", "b")
+    new = F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    later = later.withColumn("new", new.cast("int")).withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("id", "hash", "stretch")
+    reach = F.max("high").over(whole) - F.min("low").over(whole) + 2 * UNSURE
+    later = later.withColumn("able", F.bool_or("lines").over(whole) | (reach >= PASSAGE)).where("able")
     key = ["id", "hash", "fid", "fhash", "shift"]
     later = later.select("id", "hash", "fid", "fhash", (F.col("fa") - F.col("a")).alias("shift"), "a", "b", "lines")
     w = Window.partitionBy(*key).orderBy("a", "b")
