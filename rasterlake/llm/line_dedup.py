@@ -383,22 +383,22 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "a", "b", "before", "content"])
 
 
-def cut_runs(text: str | None, runs: list[dict] | None) -> str | None:
-    """A text without its words that agree with the first place of a run, where they are enough."""
+def cut_runs(text: str | None, runs: list[tuple]) -> str | None:
+    """A text without its words that agree with the first place of a run (a, b, lines, before, content), where they are enough."""
     if not runs:
         return text
     words = _words(text)
     gone = np.zeros(len(words) + 1, np.int8)
-    for run in runs:
-        a, b, other = run["a"], run["b"], run["content"].split(" ")
-        x, y = run["before"], run["before"] + b - a
+    for a, b, lines, before, content in runs:
+        other = content.split(" ")
+        x, y = before, before + b - a
         if words[a:b] != other[x:y]:
             continue
         while a and x and words[a - 1] == other[x - 1]:
             a, x = a - 1, x - 1
         while b < len(words) and y < len(other) and words[b] == other[y]:
             b, y = b + 1, y + 1
-        if run["lines"] or b - a >= PASSAGE:
+        if lines or b - a >= PASSAGE:
             gone[a:b] = 1
     if not gone.any():
         return text
@@ -473,7 +473,11 @@ def without_passages(docs: DataFrame) -> DataFrame:
     @lean()
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, found in batches:
-            yield pa.array([cut_runs(t, r.as_py()) for t, r in zip(text.to_pylist(), found)], pa.string())
+            every = found.flatten()
+            columns = dict(zip((f.name for f in every.type), every.flatten()))
+            rows = list(zip(*(columns[c].to_pylist() for c in ("a", "b", "lines", "before", "content"))))
+            ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            yield pa.array([cut_runs(t, rows[a:b]) for t, a, b in zip(text.to_pylist(), [0, *ends], ends)], pa.string())
 
     near, others = parted_by_ids(docs, "doc_id", marks.select(i))
     joined = near.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
