@@ -229,7 +229,8 @@ def language_snippets(docs: DataFrame, most: int = MOST_A_LANGUAGE, length: int
     n = F.greatest(F.length("text") - length + 1, F.lit(1))
     cuts = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), n) + 1).cast("int"), F.lit(length)) for k in range(WINDOWS)]
     own = docs.where(F.length("text") > 0).select("doc_id", "text", F.col("lang").cast("string").alias("name"))
-    rows = own.join(ids, ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]).select("name", F.array(*cuts).alias("cuts")).collect()
+    # in_all ids at most, or one a language: texts aren't shuffled to meet them, and rows of equal ids count once
+    rows = own.join(F.broadcast(ids), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]).select("name", F.array(*cuts).alias("cuts")).collect()
     return sorted((c, r["name"]) for r in rows for c in r["cuts"])
 
 
