@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,24 @@ def rooted(ids: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
+def least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots of rooted() for ids from 0 to n, as an array, where links are many: a[i] < b[i] are linked."""
+    up = np.arange(n)
+    while len(a):
+        # the larger root of each link goes below the least root that it is linked to, and all point to their roots again
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        first = np.concatenate((np.ones(1, bool), b[1:] != b[:-1]))
+        up[b[first]] = a[first]
+        while ((above := up[up]) != up).any():
+            up = above
+        a, b = up[a], up[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        open_ = a < b
+        a, b = a[open_], b[open_]
+    return up
+
+
 def frame_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """frame, id, grp: the component of each node (frame, id) under links (frame, u, v); frames are independent.
 

@@ -29,19 +29,25 @@ def query(sql: str | None = None):
 
 #: Dots are squares of so many pixels.
 SCALE = 3
+#: Frames that are painted at once: about 100 KB each.
+FRAMES_AT_ONCE = 32
 
 
 def word_frames(spark, d):
-    """A frame for each part: its name and its type, a line each, in dark dots on a light ground."""
+    """A frame for each part: its name and its type, a line each, in dark dots on a light ground.
+
+    Lines are small and frames are large: however few splits the lines come in, they are dealt over all tasks first.
+    """
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, FRAMES_AT_ONCE) for whole in batches for k in range(0, whole.num_rows, FRAMES_AT_ONCE)):
             pages = [font.page([r["one"], r["two"]], SCALE) for r in b.to_pylist()]
             sizes = [pa.array([p.shape[k] for p in pages], pa.int32()) for k in (1, 0)]
             yield pa.RecordBatch.from_arrays([b.column("frame"), *sizes, pa.array(["RGB24"] * len(pages)), pa.array([p.tobytes() for p in pages], pa.binary())], ["frame", "width", "height", "format", "pixels"])
 
     lines = table(spark, d, "part").select(F.col("p_partkey").alias("frame"), F.upper("p_name").alias("one"), F.upper("p_type").alias("two"))
-    return lines.mapInArrow(paint, "frame long, width int, height int, format string, pixels binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, 2 * lines.rdd.getNumPartitions())
+    return lines.repartition(tasks, "frame").mapInArrow(paint, "frame long, width int, height int, format string, pixels binary")
 
 
 def dots_atlas(spark):
