@@ -42,3 +42,37 @@ def test_links_of_many_are_those_of_few():
     path = np.random.default_rng(4).permutation(300)
     a, b = np.minimum(path[:-1], path[1:]), np.maximum(path[:-1], path[1:])
     assert not least_linked(300, a, b).any()
+
+
+@tables
+def test_words_are_found_in_many_tasks(spark):
+    """Frames are spread as they are painted; words and blocks are grouped only then."""
+    found = tasks_with_frames(screen_queries.word_frames(spark, SF))
+    assert len(found) > 8 and sum(r["n"] for r in found) == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_equal_frames_are_settled_once(spark, tmp_path):
+    """40 frames of three kinds, two of which have the same bytes in another shape, and one that isn't decoded."""
+    drawn = [font.page(["ONE"]), font.page(["TWO"])]
+    turned = np.ascontiguousarray(drawn[0].reshape(drawn[0].shape[1], drawn[0].shape[0], 3))
+    pages = [(*drawn, turned)[k % 3] for k in range(40)]
+    frames = spark.createDataFrame([*frame_rows(pages), (99, None, None, None, None)], FRAME).coalesce(1)
+    folder = str(tmp_path)
+
+    def make():
+        def of(page):
+            os.close(os.open(f"{folder}/{len(os.listdir(folder))}", os.O_CREAT | os.O_EXCL))
+            size = f"{page.width} {page.height} {int(page.luma.sum())}"
+            return [{"kind": size}], {size: {"kind": f"once {size}"}}
+
+        return of
+
+    got = [(r["frame"], r["kind"]) for r in layout.over_frames(frames, "frame long, kind string", make).collect()]
+    want = {k: f"{p.shape[1]} {p.shape[0]} {int(layout.grey(p).sum())}" for k, p in enumerate(pages)}
+    assert sorted(r for r in got if r[0] is not None) == sorted(want.items())
+    assert sorted(r[1] for r in got if r[0] is None) == sorted({f"once {v}" for v in want.values()})
+    assert len(os.listdir(folder)) == 3
+    alone = [[{k: e[k] for k in ("level", "elem", "kind", "x", "y", "w", "h", "parent", "depth", "atoms")} for e in layout.Page(p).elements()] for p in pages]
+    rows = layout.layout(frames).collect()
+    for k, own in enumerate(alone):
+        assert [{c: r[c] for c in own[0]} for r in rows if r["frame"] == k] == own
