@@ -83,8 +83,7 @@ def layout_words(spark, d):
 UNION ALL SELECT frame, 0, '', false, NULL FROM ln GROUP BY frame""")
 def screen_text(spark, d):
     """What is read on frames of text: the text that was drawn. Containers aren't read."""
-    frames = word_frames(spark, d)
-    read = reading.read_screen(frames, cut(layout.layout(frames)), dots_atlas(spark))
+    read = reading.read_frames(word_frames(spark, d), dots_atlas(spark))
     return read.select("frame", "elem", "text", "is_text", "n_glyphs")
 
 

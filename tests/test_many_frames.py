@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import layout
+from rasterlake.operators import layout, reading
 from rasterlake.operators.graph import least_linked, rooted
 from rasterlake.plans import font, screen_queries
 
@@ -76,3 +76,24 @@ def test_equal_frames_are_settled_once(spark, tmp_path):
     rows = layout.layout(frames).collect()
     for k, own in enumerate(alone):
         assert [{c: r[c] for c in own[0]} for r in rows if r["frame"] == k] == own
+
+
+def test_frames_are_read_in_one_pass(spark):
+    """read_frames() has the rows of read_screen() over layout(): text, boxes that aren't read, and equal crops of other frames."""
+    icon = np.full((80, 160, 3), 240, np.uint8)
+    icon[12:40, 12:40], icon[18:34, 18:34] = 15, 240
+    icon[50:62, 100:112] = 15
+    pages = [font.page(["ORDER 66", "STATUS"]), font.page(["STATUS", "ORDER 66"], width=300), font.page(["ORDER 66", "STATUS"]), icon, font.page([" "])]
+    frames = spark.createDataFrame([*frame_rows(pages), (99, None, None, None, None)], FRAME).repartition(3)
+    atlas = screen_queries.dots_atlas(spark)
+    for verify in (reading.VerifyRules(), reading.VerifyRules(around=0, tallest=20, verify=False)):
+        got = reading.read_frames(frames, atlas, verify=verify)
+        want = reading.read_screen(frames, layout.layout(frames), atlas, verify=verify)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert want.where("is_text").count() == (6 if verify.verify else 0) and want.count() > 8
+
+
+@tables
+def test_pixels_of_frames_are_not_shuffled_to_be_read(spark):
+    plan = screen_queries.screen_text(spark, SF)._jdf.queryExecution().toString()
+    assert "Join" in plan and "pixels" not in plan
