@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions.geometry import union_of
 from rasterlake.functions.latex import CLASS
-from rasterlake.operators.graph import frame_components
+from rasterlake.operators.graph import frame_components, least_linked
 from rasterlake.operators.ranges import overlap_join
 
 # Characters of a formula that cost nothing, and those that cost 2; Greek costs 1, all others 5.
@@ -65,3 +66,24 @@ def formula_regions(texts: DataFrame, tallest: int, most: int = 24, members: boo
     )
     d = F.greatest(F.lit(2), F.expr("tall * 3 div 10"))
     return groups.where((F.col("n") <= most) & F.col("any")).select("frame", "grp", "n", *(["members"] if members else []), (F.col("x") - d).alias("x"), (F.col("y") - d).alias("y"), (F.col("w") + 2 * d).alias("w"), (F.col("h") + 2 * d).alias("h"))
+
+
+def regions_of(texts: list[dict], tallest: int, most: int = 24) -> list[dict]:
+    """formula_regions() of one frame's text boxes (elem, x, y, w, h), all of them candidates, in order of their groups."""
+    own = sorted((e for e in texts if e["h"] <= tallest), key=lambda e: e["elem"])
+    if not own:
+        return []
+    box = np.array([[e[c] for c in "xywh"] for e in own])
+    x, y, w, h = box.T
+    left, right, top, bottom = x - h * 8 // 10, x + w + h * 8 // 10, y - h * 5 // 10, y + h + h * 5 // 10
+    meet = lambda low, high: (low[:, None] < high) & (low < high[:, None])
+    a, b = np.nonzero(np.triu(meet(left, right) & meet(top, bottom), 1))
+    root, out = least_linked(len(own), a, b), []
+    for k in np.unique(root).tolist():
+        at = np.flatnonzero(root == k)
+        if len(at) <= most:
+            d = max(2, int(h[at].max()) * 3 // 10)
+            x0, y0 = int(x[at].min()), int(y[at].min())
+            x1, y1 = int((x + w)[at].max()), int((y + h)[at].max())
+            out.append({"members": [own[i]["elem"] for i in at.tolist()], "x": x0 - d, "y": y0 - d, "w": x1 - x0 + 2 * d, "h": y1 - y0 + 2 * d})
+    return out

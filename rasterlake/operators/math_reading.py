@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.functions.latex import CLASS
-from rasterlake.operators.fits import FREE, TWO, formula_regions
+from rasterlake.operators.fits import FREE, TWO, formula_regions, regions_of
 from rasterlake.operators.formulas import formula
 from rasterlake.operators.graph import rooted
-from rasterlake.operators.layout import united
+from rasterlake.operators.layout import LayoutRules, Page, over_frames, united
 from rasterlake.operators.raster import grey, planes
 from rasterlake.operators.reading import Crop, InkRules, Templates, _batch, _checked
 
@@ -252,25 +253,66 @@ def formulas_of(frames: DataFrame, read: DataFrame, atlas: DataFrame, prior: dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, known = shared.value
-        reader = MathReader(Templates(rows), math, known)
+        reader = RegionReader(MathReader(Templates(rows), math, known), rules)
         for b in batches:
             out = []
             for f in b.to_pylist():
-                luma, n = grey(planes(f["width"], f["height"], f["format"], f["pixels"])), 0
-                for g in f["regions"]:
-                    x0, y0 = max(0, g["x"]), max(0, g["y"])
-                    x1, y1 = min(f["width"], g["x"] + g["w"]), min(f["height"], g["y"] + g["h"])
-                    e = evidence(reader.symbols(luma[y0:y1, x0:x1]))
-                    good = e.symbols >= rules.least_symbols and e.mean_dist <= rules.most_dist and e.rare <= rules.most_rare and e.marks >= rules.least_marks
-                    if e.symbols >= 2 if rules.all_text else good:
-                        own = {"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0}
-                        out.append({"frame": f["frame"], "region": n, "members": g["members"], **own, "symbols": e.symbols, "mean_dist": float(e.mean_dist), "rare": float(e.rare), "marks": int(e.marks), "tex": e.tex})
-                        n += 1
+                luma = grey(planes(f["width"], f["height"], f["format"], f["pixels"]))
+                out += [{"frame": f["frame"], **e} for e in reader.accepted(luma, f["regions"])]
             yield _batch(out, REGION)
 
     return both.mapInArrow(run, REGION)
 
 
+class RegionReader:
+    """Accepted formulas of frames; equal crops are read once."""
+
+    def __init__(self, reader: MathReader, rules: FormulaRules) -> None:
+        self.reader, self.rules = reader, rules
+        self.known: dict[tuple, Evidence] = {}
+
+    def evidence(self, crop: np.ndarray) -> Evidence:
+        key = crop.shape, hashlib.blake2b(np.ascontiguousarray(crop), digest_size=16).digest()
+        if key not in self.known:
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            self.known[key] = evidence(self.reader.symbols(crop))
+        return self.known[key]
+
+    def accepted(self, luma: np.ndarray, regions: list[dict]) -> list[dict]:
+        """Rows of REGION without the frame, of regions (members, x, y, w, h) of a frame in order."""
+        rules, out = self.rules, []
+        for g in regions:
+            x0, y0 = max(0, g["x"]), max(0, g["y"])
+            x1, y1 = min(luma.shape[1], g["x"] + g["w"]), min(luma.shape[0], g["y"] + g["h"])
+            e = self.evidence(luma[y0:y1, x0:x1])
+            good = e.symbols >= rules.least_symbols and e.mean_dist <= rules.most_dist and e.rare <= rules.most_rare and e.marks >= rules.least_marks
+            if e.symbols >= 2 if rules.all_text else good:
+                own = {"x": x0, "y": y0, "w": x1 - x0, "h": y1 - y0}
+                out.append({"region": len(out), "members": g["members"], **own, "symbols": e.symbols, "mean_dist": float(e.mean_dist), "rare": float(e.rare), "marks": int(e.marks), "tex": e.tex})
+        return out
+
+
+def formulas_in(frames: DataFrame, atlas: DataFrame, prior: dict[str, float] | None = None, rules: FormulaRules = FormulaRules(), math: MathRules = MathRules(), layout_rules: LayoutRules = LayoutRules()) -> DataFrame:
+    """formulas_of() the layout() of frames whose texts nobody has read, in one pass: each frame where it lies.
+
+    Any text box may be a formula, and neither boxes nor pixels are shuffled.
+    """
+    shared = frames.sparkSession.sparkContext.broadcast((_checked(atlas), prior))
+
+    def make():
+        rows, known = shared.value
+        reader = RegionReader(MathReader(Templates(rows), math, known), rules)
+
+        def of(page: Page) -> tuple[list[dict], dict]:
+            texts = [e for e in page.elements() if e["level"] == "element" and e["kind"] == "Text"]
+            return reader.accepted(page.luma, regions_of(texts, rules.tallest)), {}
+
+        return of
+
+    return over_frames(frames, REGION, make, layout_rules)
+
+
 def formula_tags(regions: DataFrame, rules: FormulaRules = FormulaRules()) -> DataFrame:
     """Tags `latex.region` of the members of accepted regions: the region's number as text."""
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("mean_dist") / (2 * rules.most_dist)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import layout, reading
+from rasterlake.operators import fits, layout, math_reading, reading
 from rasterlake.operators.graph import least_linked, rooted
 from rasterlake.plans import font, screen_queries
 
@@ -97,3 +97,39 @@ def test_frames_are_read_in_one_pass(spark):
 def test_pixels_of_frames_are_not_shuffled_to_be_read(spark):
     plan = screen_queries.screen_text(spark, SF)._jdf.queryExecution().toString()
     assert "Join" in plan and "pixels" not in plan
+
+
+@tables
+def test_formulas_are_read_in_many_tasks(spark):
+    """Before, one task laid out all frames, and their pixels were shuffled to meet their regions."""
+    found = screen_queries.screen_formulas(spark, SF)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    each = tasks_with_frames(found)
+    assert len(each) > 8 and max(r["n"] for r in each) < sum(r["n"] for r in each) / 4
+
+
+def test_formulas_are_read_in_one_pass(spark):
+    """formulas_in() has the rows of formulas_of() over layout(), where no text was read."""
+    pages = [font.page(["X2 Y", "A"]), font.page(["X2 Y", "AB", "AB 8"]), font.page(["X2 Y", "A"]), font.page([" "])]
+    frames = spark.createDataFrame([*frame_rows(pages), (99, None, None, None, None)], FRAME).repartition(3)
+    elements = layout.layout(frames).where("level = 'element'").selectExpr("*", "cast(null as boolean) is_text", "cast(null as boolean) fitted", "cast(null as double) residual")
+    atlas = screen_queries.dots_atlas(spark)
+    for rules in (math_reading.FormulaRules(all_text=True), math_reading.FormulaRules(least_symbols=1, most_rare=1.0, least_marks=0, most_dist=50.0)):
+        got = math_reading.formulas_in(frames, atlas, rules=rules)
+        want = math_reading.formulas_of(frames, elements, atlas, rules=rules)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert want.count() >= 5
+
+
+def test_regions_of_a_frame_are_those_of_tables(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for frame, (n, side) in enumerate([(1, 50), (12, 300), (40, 900), (60, 300), (60, 2000)]):
+        rows += [(frame, k, *(int(v) for v in (rng.integers(0, side), rng.integers(0, side), rng.integers(1, 60), rng.integers(1, 40)))) for k in range(n)]
+    boxes = spark.createDataFrame(rows, "frame long, id int, x int, y int, w int, h int").withColumn("candidate", F.lit(True))
+    found = fits.formula_regions(boxes, 30, members=True).orderBy("frame", "grp").collect()
+    assert len(found) > 20
+    for frame in range(5):
+        own = fits.regions_of([dict(zip(("elem", "x", "y", "w", "h"), r[1:])) for r in rows if r[0] == frame], 30)
+        assert own == [{c: r[c] for c in ("members", "x", "y", "w", "h")} for r in found if r["frame"] == frame]
+    assert fits.regions_of([], 30) == []
