@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import WORD, bounded_batches, fresh, lean, materialize, parted_by_ids, table
+from rasterlake.llm.common import bounded_batches, fresh, lean, materialize, parted_by_ids, table
 
 #: Least lines and words of a chunk that may go; lines after which a chunk ends anyway; one place in DIVISOR ends a chunk.
 LEAST_LINES, LEAST_WORDS, MOST_LINES, DIVISOR = 2, 10, 16, 2
@@ -30,8 +30,9 @@ LEAST_LINES, LEAST_WORDS, MOST_LINES, DIVISOR = 2, 10, 16, 2
 PASSAGE, REACH, AROUND = 50, 4, 50
 #: Pieces that a task holds before it passes them on. Speed, not results.
 HELD = 250_000
+#: Bytes of texts that are cut into pieces at once: arrays that a core's cache holds. Speed, not results.
+AT_ONCE = 40_000
 
-_places, _words = re.compile(WORD).finditer, re.compile(WORD).findall
 _ends = re.compile(r"\n|[.!?…][ \t]+").finditer
 _P, _Q = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -183,82 +184,115 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, digest, whether a chunk of lines) of the runs of words whose repetition is looked for, by word numbers."""
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    if not text:
-        return nothing
-    b = np.frombuffer(text.encode(), np.uint8)
-    inner = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inner, [False])).view(np.int8)))
+    return pieces_of([(text or "").encode()])[1:]
+
+
+def pieces_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, from, to, digest, whether a chunk of lines) of the pieces of several texts at once.
+
+    By word numbers of a text, in order of texts: first all pieces of words, which follow each other, then all chunks of lines.
+    """
+    b = np.frombuffer(b"\n".join(texts), np.uint8)
+    inner = np.zeros(len(b) + 2, bool)
+    inner[1:-1] = (b != 32) & ((b - np.uint8(9)) > 4)
+    edges = np.flatnonzero(inner[1:] != inner[:-1])
     starts, stops = edges[::2], edges[1::2]
     n = len(starts)
     if not n:
-        return nothing
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing, nothing.astype(np.uint64), nothing.astype(bool)
     up, down = _powers(int(_P), len(b))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
     word = _mixed((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     up, down = _powers(int(_Q), n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * up[:-1], dtype=np.uint64)))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(word * up[:-1], dtype=np.uint64, out=total[1:])
+    # texts with words: their numbers, their first words, and the end of the last
+    begins = np.cumsum(np.array([0, *(len(t) + 1 for t in texts[:-1])]))
+    heads = np.append(np.searchsorted(starts, begins), n)
+    texts_with = np.flatnonzero(heads[1:] > heads[:-1])
+    first, last = heads[texts_with], heads[texts_with + 1]
     roll = word.copy()
-    roll[1:] += word[:-1] * _P
-    roll[2:] += word[:-2] * _P * _P
+    step = word * _P
+    step[last - 1] = 0
+    roll[1:] += step[:-1]
+    step[1:] = step[:-1] * _P
+    step[first] = step[last - 1] = 0
+    roll[1:] += step[:-1]
     roll = _mixed(roll)
-    wide = np.full(n + 2 * REACH, np.iinfo(np.uint64).max)
-    wide[REACH : n + REACH] = roll
+    at = np.arange(n) + REACH * (np.repeat(np.arange(len(first)), last - first) + 1)  # no window reaches into another text
+    wide = np.full(n + REACH * (len(first) + 1), np.iinfo(np.uint64).max)
+    wide[at] = roll
     least, span = wide, 1
     while span < 2 * REACH + 1:  # the least of each window, from windows of half its width and more
         step = min(span, 2 * REACH + 1 - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    ends = np.flatnonzero(roll == least) + 1
-    if (np.diff(ends) <= REACH).any():  # only words that repeat at once put ends closer together
-        far, at = [], 0
-        for end in ends.tolist():
-            if end - at > REACH or at == 0:
-                far.append(end)
-                at = end
-        ends = np.array(far)
-    cuts = np.concatenate((np.zeros(1, np.int64), ends, np.full(int(ends[-1] < n), n)))
+    ends = np.flatnonzero(roll == least[at - REACH]) + 1
+    close = np.flatnonzero(np.diff(ends) <= REACH)
+    if len(close):  # only words that repeat at once put ends closer together, or two texts that meet
+        own = np.searchsorted(first, ends - 1, side="right") - 1
+        kept = np.ones(len(ends), bool)
+        for k in np.unique(own[close][own[close] == own[close + 1]]).tolist():
+            place = -1
+            for i in range(*np.searchsorted(own, [k, k + 1]).tolist()):
+                kept[i] = place < 0 or ends[i] - place > REACH
+                if kept[i]:
+                    place = ends[i]
+        ends = ends[kept]
+    whole = np.zeros(n + 1, bool)
+    whole[ends] = whole[first] = whole[n] = True
+    cuts = np.flatnonzero(whole)
     run = lambda f, t: _mixed((total[t] - total[f]) * down[f] + (t - f).astype(np.uint64))
-    lines = _line_chunks(b, starts, stops, run)
+    lines = _line_chunks(b, starts, stops, run, first)
     f, t = np.concatenate((cuts[:-1], lines[0])), np.concatenate((cuts[1:], lines[1]))
-    return f, t, run(f, t), np.arange(len(f)) >= len(cuts) - 1
+    own = np.searchsorted(first, f, side="right") - 1
+    return texts_with[own], f - first[own], t - first[own], run(f, t), np.arange(len(f)) >= len(cuts) - 1
 
 
-def _line_chunks(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, run) -> tuple[np.ndarray, np.ndarray]:
-    """(from, to) by word numbers of the chunks of lines that may go, as chunks() has them, from a text's bytes and words.
+def _line_chunks(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, run, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) by word numbers of the chunks of lines that may go, as chunks() has them, from the bytes and words of texts.
 
     A line ends before a gap with a line feed, or after a word that ends as a sentence does with a blank or tab behind it.
-    The rolling hash goes over hashes of the words of lines.
+    The rolling hash goes over hashes of the words of lines. first: the first word of each text.
     """
-    nothing = np.zeros(0, np.int64)
     n = len(starts)
-    if n < LEAST_WORDS:
-        return nothing, nothing
-    feeds = np.concatenate((np.zeros(1, np.int64), np.cumsum(b == 10)))
     last, after = b[stops[:-1] - 1], b[stops[:-1]]
     mark = (last == 46) | (last == 33) | (last == 63)
     wide = np.flatnonzero(last == 0xA6)  # the last of the three bytes of an ellipsis
     if len(wide):
         at = stops[wide]
         mark[wide] = (at >= 3) & (b[at - 2] == 0x80) & (b[np.maximum(at - 3, 0)] == 0xE2)
-    ends = np.flatnonzero((feeds[starts[1:]] > feeds[stops[:-1]]) | (mark & ((after == 32) | (after == 9)))) + 1
-    edge = np.concatenate((np.zeros(1, np.int64), ends, np.array([n])))
-    if len(edge) <= LEAST_LINES:
-        return nothing, nothing
+    edge = np.zeros(n + 1, bool)
+    edge[1:-1] = mark & ((after == 32) | (after == 9))
+    edge[np.searchsorted(starts, np.flatnonzero(b == 10))] = True  # the first word behind each line feed
+    edge[first] = edge[n] = True
+    edge = np.flatnonzero(edge)
     h = run(edge[:-1], edge[1:])
+    heads = np.searchsorted(edge, first)
+    step = h * _P
+    step[np.append(heads[1:], len(h)) - 1] = 0
     roll = h.copy()
-    roll[1:] += h[:-1] * _P
+    roll[1:] += step[:-1]
     roll = _mixed(roll)
-    cut = np.flatnonzero((roll >> np.uint64(33)) % np.uint64(DIVISOR) == 0) + 1
+    stop = np.zeros(len(h) + 1, bool)
+    stop[1:] = (roll >> np.uint64(33)) % np.uint64(DIVISOR) == 0
+    stop[heads[1:]] = stop[len(h)] = True
+    head = np.zeros(len(h) + 1, bool)
+    head[heads] = True
+    stop = np.flatnonzero(stop)
     out, at = [], 0
-    for end in [*cut.tolist(), len(h)]:
+    for end, new in zip(stop.tolist(), head[stop].tolist()):
         while end - at > MOST_LINES:
             out.append((at, at + MOST_LINES))
             at += MOST_LINES
         if end - at >= LEAST_LINES:
             out.append((at, end))
             at = end
-    f, t = (edge[np.array(c, np.int64)] for c in zip(*out)) if out else (nothing, nothing)
+        if new:
+            at = end
+    f, t = edge[np.array(out, np.int64).reshape(-1, 2).T]
     enough = t - f >= LEAST_WORDS
     return f[enough], t[enough]
 
@@ -293,6 +327,18 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, first
 
 
+def _together(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring texts that are cut into pieces at once: AT_ONCE bytes, or one text that has more."""
+    low, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > low and size + len(text) > AT_ONCE:
+            yield low, k
+            low, size = k, 0
+        size += len(text)
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def _dealt(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces by bucket of their digest, packed: of each digest, the first of those held at once; apart, the others (later)."""
     held: list[np.ndarray] = []
@@ -313,13 +359,17 @@ def _dealt(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
     n = 0
     for b in batches:
-        for i, h, text in zip(b.column("id").to_pylist(), b.column("hash").to_pylist(), b.column("text").to_pylist()):
-            f, t, digest, lines = pieces(text)
+        null = b.column("id").is_null().to_numpy(zero_copy_only=False)
+        ids, hashes = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("id", "hash"))
+        texts = b.column("text").cast(pa.binary()).to_pylist()
+        for low, high in _together(texts):
+            own, f, t, digest, lines = pieces_of(texts[low:high])
             rows = np.zeros(len(f), _PIECE)
-            own = np.minimum((t - f)[~lines], 65_535)  # pieces of words follow each other
-            if len(own) > 1:
-                rows["before"][1 : len(own)], rows["after"][: len(own) - 1] = own[:-1], own[1:]
-            rows["digest"], rows["null"], rows["id"], rows["hash"], rows["a"], rows["b"], rows["lines"] = digest, i is None, i or 0, h, f, t, lines
+            k = len(f) - int(lines.sum())  # pieces of words come first, and follow each other
+            size, same = np.minimum(t[:k] - f[:k], 65_535), own[1:k] == own[: max(0, k - 1)]
+            rows["before"][1:k], rows["after"][: max(0, k - 1)] = np.where(same, size[:-1], 0), np.where(same, size[1:], 0)
+            at = own + low
+            rows["digest"], rows["null"], rows["id"], rows["hash"], rows["a"], rows["b"], rows["lines"] = digest, null[at], ids[at], hashes[at], f, t, lines
             held.append(rows)
             n += len(f)
             if n >= HELD:
@@ -369,46 +419,53 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """A row for each run of words that is asked for: its document, its place, and its words with AROUND more to each side."""
     for b in batches:
         own, f, t, left, content = [], [], [], [], []
-        for i, (text, asked) in enumerate(zip(b.column("text").to_pylist(), b.column("asked").to_pylist())):
-            words = _words(text)
+        for i, (text, asked) in enumerate(zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("asked").to_pylist())):
+            words = text.split()  # of bytes, at the blanks that WORD leaves out
             for run in asked:
                 low = max(0, run["a"] - AROUND)
                 own.append(i)
                 f.append(run["a"])
                 t.append(run["b"])
                 left.append(run["a"] - low)
-                content.append(" ".join(words[low : run["b"] + AROUND]))
+                content.append(b" ".join(words[low : run["b"] + AROUND]))
         at = pa.array(own, pa.int64())
-        columns = [b.column("id").take(at), b.column("hash").take(at), pa.array(f, pa.int32()), pa.array(t, pa.int32()), pa.array(left, pa.int32()), pa.array(content, pa.string())]
+        columns = [b.column("id").take(at), b.column("hash").take(at), pa.array(f, pa.int32()), pa.array(t, pa.int32()), pa.array(left, pa.int32()), pa.array(content, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "a", "b", "before", "content"])
 
 
-def cut_runs(text: str | None, runs: list[tuple]) -> str | None:
-    """A text without its words that agree with the first place of a run (a, b, lines, before, content), where they are enough."""
+def cut_runs(text: bytes | None, runs: list[tuple]) -> bytes | None:
+    """A text without its words that agree with the first place of a run (a, b, lines, before, content), where they are enough.
+
+    Texts and contents are UTF-8.
+    """
     if not runs:
         return text
-    words = _words(text)
-    gone = np.zeros(len(words) + 1, np.int8)
+    words = text.split()  # of bytes, at the blanks that WORD leaves out
+    n = len(words)
+    gone = np.zeros(n + 1, np.int8)
     for a, b, lines, before, content in runs:
-        other = content.split(" ")
+        other = content.split()
         x, y = before, before + b - a
         if words[a:b] != other[x:y]:
             continue
         while a and x and words[a - 1] == other[x - 1]:
             a, x = a - 1, x - 1
-        while b < len(words) and y < len(other) and words[b] == other[y]:
+        while b < n and y < len(other) and words[b] == other[y]:
             b, y = b + 1, y + 1
         if lines or b - a >= PASSAGE:
             gone[a:b] = 1
     if not gone.any():
         return text
-    found = list(_places(text))
+    raw = np.frombuffer(text, np.uint8)
+    inner = np.zeros(len(raw) + 1, bool)
+    inner[1:] = (raw != 32) & ((raw - np.uint8(9)) > 4)
+    starts = np.flatnonzero(inner[1:] & ~inner[:-1])
     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone)))).tolist()
     out, at = [], 0
     for a, b in zip(edges[::2], edges[1::2]):
-        out.append(text[at : found[a].start() if a else 0])
-        at = found[b].start() if b < len(words) else len(text)
-    return "".join([*out, text[at:]])
+        out.append(text[at : starts[a] if a else 0])
+        at = starts[b] if b < n else len(text)
+    return b"".join([*out, text[at:]])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -475,9 +532,11 @@ def without_passages(docs: DataFrame) -> DataFrame:
         for text, found in batches:
             every = found.flatten()
             columns = dict(zip((f.name for f in every.type), every.flatten()))
+            columns["content"] = columns["content"].cast(pa.binary())
             rows = list(zip(*(columns[c].to_pylist() for c in ("a", "b", "lines", "before", "content"))))
             ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            yield pa.array([cut_runs(t, rows[a:b]) for t, a, b in zip(text.to_pylist(), [0, *ends], ends)], pa.string())
+            own = text.cast(pa.binary()).to_pylist()
+            yield pa.array([cut_runs(t, rows[a:b]) for t, a, b in zip(own, [0, *ends], ends)], pa.binary()).cast(pa.string())
 
     near, others = parted_by_ids(docs, "doc_id", marks.select(i))
     joined = near.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")

@@ -1,6 +1,7 @@
 """Repeated passages against a brute force of runs of 51 words that knows nothing of chunks."""
 
 import numpy as np
+import pyarrow as pa
 
 from rasterlake.llm import line_dedup
 
@@ -71,3 +72,33 @@ def test_odd_rows(spark):
     assert out.columns == df.columns and out.count() == len(rows)
     assert {r["text"] for r in out.where("doc_id in (1, 2)").collect()} == {None, ""}
     assert line_dedup.without_passages(df.limit(0)).count() == 0
+
+
+def test_pieces_of_many_texts_are_those_of_each(monkeypatch):
+    """Texts are cut into pieces together; no window, line or piece reaches from one into the next."""
+    rng = np.random.default_rng(6)
+    signs = ["a", "b ", "c. ", "\n", " ", "d… ", "é!\t", "\x85 ", "xx "]
+    texts = ["", " \n", "a", "a a a a a a a a a a a a", "a. " * 300, "one\ntwo\n" * 30, *("".join(rng.choice(signs, int(rng.integers(0, 300)))) for _ in range(60))]
+    own, *found = line_dedup.pieces_of([t.encode() for t in texts])
+    assert (np.diff(own[~found[-1]]) >= 0).all() and found[-1].any()
+    for k, text in enumerate(texts):
+        alone = line_dedup.pieces(text)
+        assert all(np.array_equal(f[own == k], a) for f, a in zip(found, alone))
+        f, t, _, lines = alone
+        words = text.encode().split()
+        assert f[~lines].tolist() == [0, *t[~lines].tolist()][:-1] if words else not len(f)
+        assert not words or t[~lines][-1] == len(words)
+    batch = pa.RecordBatch.from_arrays([pa.array([None if k % 9 == 4 else k for k in range(len(texts))], pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "hash", "text"])
+    whole = [r.to_pydict() for r in line_dedup._dealt(5, iter([batch]))]
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 1)
+    assert [r.to_pydict() for r in line_dedup._dealt(5, iter([batch]))] == whole and len(whole) == 1
+
+
+def test_cuts_keep_bytes_around_them():
+    text = "é  one two\tthree 漢 \n four\x85five six "
+    runs = [(1, 3, True, 1, "zwei one two drei"), (4, 6, True, 0, "漢 four\x85five")]
+    got = line_dedup.cut_runs(text.encode(), [(*r[:4], r[4].encode()) for r in runs]).decode()
+    assert got == "é  three six "
+    assert line_dedup.cut_runs(text.encode(), [(1, 3, True, 0, b"one TWO")]).decode() == text
+    assert line_dedup.cut_runs(text.encode(), [(1, 3, False, 0, b"one two")]).decode() == text
+    assert line_dedup.cut_runs(b"a b", [(0, 2, True, 0, b"a b")]) == b"" and line_dedup.cut_runs(None, []) is None
