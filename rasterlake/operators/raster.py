@@ -28,9 +28,9 @@ def planes(width: int, height: int, form: str, pixels: bytes) -> np.ndarray:
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
-    """luma() of planes; where all three are equal, as it is."""
-    r, g, b = (rgb[..., k].astype(np.int32) for k in range(3))
-    return np.where((r == g) & (g == b), r, (77 * r + 150 * g + 29 * b + 128) >> 8)
+    """luma() of planes; where all three are equal, as it is: the weights add up to 256, and sums stay below 65536."""
+    r, g, b = (rgb[..., k].astype(np.uint16) for k in range(3))
+    return ((77 * r + 150 * g + 29 * b + 128) >> 8).astype(np.int32)
 
 
 def scanlines(frames: DataFrame) -> DataFrame:

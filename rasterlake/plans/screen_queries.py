@@ -33,21 +33,30 @@ SCALE = 3
 FRAMES_AT_ONCE = 32
 
 
-def word_frames(spark, d):
-    """A frame for each part: its name and its type, a line each, in dark dots on a light ground.
+def word_lines(spark, d):
+    """Two lines of text for each part, its name and its type.
 
-    Lines are small and frames are large: however few splits the lines come in, they are dealt over all tasks first.
+    Lines are small and their frames are large: however few splits the lines come in, they are dealt over all tasks first.
     """
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("frame"), F.upper("p_name").alias("one"), F.upper("p_type").alias("two"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, 2 * lines.rdd.getNumPartitions())
+    return lines.repartition(tasks, "frame")
+
+
+def word_page(one, two):
+    return font.page([one, two], SCALE)
+
+
+def word_frames(spark, d):
+    """A frame for each part: its name and its type, a line each, in dark dots on a light ground."""
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, FRAMES_AT_ONCE) for whole in batches for k in range(0, whole.num_rows, FRAMES_AT_ONCE)):
-            pages = [font.page([r["one"], r["two"]], SCALE) for r in b.to_pylist()]
+            pages = [word_page(r["one"], r["two"]) for r in b.to_pylist()]
             sizes = [pa.array([p.shape[k] for p in pages], pa.int32()) for k in (1, 0)]
             yield pa.RecordBatch.from_arrays([b.column("frame"), *sizes, pa.array(["RGB24"] * len(pages)), pa.array([p.tobytes() for p in pages], pa.binary())], ["frame", "width", "height", "format", "pixels"])
 
-    lines = table(spark, d, "part").select(F.col("p_partkey").alias("frame"), F.upper("p_name").alias("one"), F.upper("p_type").alias("two"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, 2 * lines.rdd.getNumPartitions())
-    return lines.repartition(tasks, "frame").mapInArrow(paint, "frame long, width int, height int, format string, pixels binary")
+    return word_lines(spark, d).mapInArrow(paint, "frame long, width int, height int, format string, pixels binary")
 
 
 def dots_atlas(spark):
@@ -74,8 +83,8 @@ def layout_elements(spark, d):
   SELECT frame, 'block' AS level, {4 * SCALE} - 1 AS x, px - {SCALE} + 2 AS w FROM ln
   UNION ALL SELECT frame, 'word', {4 * SCALE} - 1, px - {SCALE} + 2 FROM ln) GROUP BY frame, level""")
 def layout_words(spark, d):
-    """Words and paragraphs of the same frames; blanks of this font are narrower than the gap between words."""
-    found = layout.layout(word_frames(spark, d)).where("level <> 'element'")
+    """Words and paragraphs of the same frames, painted where they are laid out; blanks of this font are narrower than the gap between words."""
+    found = layout.layout(word_lines(spark, d), levels=("word", "block"), schema="frame long, level string, x int, w int", paint=word_page)
     return found.groupBy("frame", "level").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.sum("w").alias("w"))
 
 

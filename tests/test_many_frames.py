@@ -133,3 +133,79 @@ def test_regions_of_a_frame_are_those_of_tables(spark):
         own = fits.regions_of([dict(zip(("elem", "x", "y", "w", "h"), r[1:])) for r in rows if r[0] == frame], 30)
         assert own == [{c: r[c] for c in ("members", "x", "y", "w", "h")} for r in found if r["frame"] == frame]
     assert fits.regions_of([], 30) == []
+
+
+@tables
+def test_words_are_painted_where_they_are_laid_out(spark):
+    """Before, pixels went from the painting worker to the JVM and back, and all columns of all levels came out."""
+    found = screen_queries.layout_words(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "pixels" not in plan and "atoms" not in plan
+    want = layout.layout(screen_queries.word_frames(spark, SF)).where("level <> 'element'").groupBy("frame", "level").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"), F.sum("w").alias("w"))
+    assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect())
+
+
+def test_equal_drawings_are_painted_once(spark, tmp_path):
+    """Each frame has the rows of its own pixels, whatever the values that it is painted from."""
+    texts = ["ONE", "TWO", None]
+    drawings = [(k, texts[k % 3], 1 + k % 2) for k in range(60)]
+    folder = str(tmp_path)
+
+    def paint(text, scale):
+        os.close(os.open(f"{folder}/{len(os.listdir(folder))}", os.O_CREAT | os.O_EXCL))
+        return font.page([text or " "], scale)
+
+    rows = layout.layout(spark.createDataFrame(drawings, "frame long, text string, scale int").coalesce(1), paint=paint).collect()
+    assert len(os.listdir(folder)) == 6
+    for k, text, scale in drawings:
+        own = layout.Page(font.page([text or " "], scale)).elements()
+        assert [{c: r[c] for c in own[0]} for r in rows if r["frame"] == k] == own
+    some = layout.layout(spark.createDataFrame(drawings[:1], "frame long, text string, scale int"), levels=("word",), schema="frame long, x int", paint=lambda text, scale: font.page([text], scale))
+    assert [tuple(r) for r in some.collect()] == [(0, e["x"]) for e in layout.Page(font.page(["ONE"], 1)).elements() if e["level"] == "word"]
+
+
+def noisy(seed):
+    rng = np.random.default_rng(seed)
+    page = font.page(["AB CD 12", "EF"], 2, width=90, ground=tuple(rng.integers(120, 256, 3)), ink=tuple(rng.integers(0, 120, 3)))
+    for _ in range(12):
+        x, y = rng.integers(0, page.shape[1]), rng.integers(0, page.shape[0])
+        page[y : y + rng.integers(1, 14), x : x + rng.integers(1, 30)] = rng.integers(0, 256, 3)
+    return page
+
+
+def test_inks_of_many_are_those_of_one(monkeypatch):
+    """By the rule itself: the median of a box's border, and the mean step from it of the stronger pixels, towards zero."""
+    monkeypatch.setattr(layout, "INKS_AT_ONCE", 5)
+    seen = 0
+    for seed in range(20):
+        page = layout.Page(noisy(seed))
+        n = len(page.atoms.box)
+        page.find_inks(list(range(n)))
+        for k, (x, y, w, h) in enumerate(page.atoms.box.tolist()):
+            own = page.luma[y : y + h, x : x + w]
+            border = sorted([*own[0], *own[-1], *own[:, 0], *own[:, -1]])
+            ground = int(border[len(border) // 2])
+            steps = [int(page.luma[p]) - ground for p in zip(*layout.pixels(page.atoms.of(k)))]
+            strong = [s for s in steps if 2 * abs(s) >= max(map(abs, steps))]
+            assert page._ink[k] == min(255, max(0, ground + int(sum(strong) / len(strong))))
+        seen += n
+    assert seen > 200
+
+
+def test_lines_are_the_same_by_few_pairs_at_once(monkeypatch):
+    whole = [layout.Page(noisy(seed)).elements() for seed in range(20)]
+    monkeypatch.setattr(layout, "PAIRS_AT_ONCE", 3)
+    assert whole == [layout.Page(noisy(seed)).elements() for seed in range(20)]
+    boxes = np.stack(np.random.default_rng(2).integers([0, 0, 1, 1], [400, 60, 30, 20], (80, 4)), 0)
+    page, rules = layout.Page(noisy(0)), layout.LayoutRules()
+
+    def joined(i, j):
+        (ax, ay, aw, ah), (bx, by, bw, bh) = sorted((boxes[i].tolist(), boxes[j].tolist()))
+        low, high = sorted((ah, bh))
+        shared = min(ay + ah, by + bh) - max(ay, by)
+        return bx <= ax + aw + int(1.25 * ah + 0.5) and high <= rules.height_ratio * low and shared >= rules.shared_height * low and bx - ax - aw <= 1.25 * high
+
+    groups = page.on_lines(boxes, 1.25, lambda i, j: False)
+    want = rooted(list(range(80)), [(i, j) for i in range(80) for j in range(i + 1, 80) if joined(i, j)])
+    assert sorted(sorted(g) for g in groups) == sorted(sorted(i for i in want if want[i] == r) for r in set(want.values()))
+    assert 1 < len(groups) < 70
